@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, exact_dedup, langid, packing, quality_rules
 from .shared import table
 
 
@@ -26,5 +26,42 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLE: dict[str, str] = {}
+def fold(n: int) -> Column:
+    """crc32 of the doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = langid.classify(docs, langid.learn(docs, fold(5) != 0))
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.measure(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_langid": op3_langid,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op7_packing": op7_packing,
+    "op10_quality_rules": op10_quality_rules,
+}
+
+ORACLE: dict[str, str] = {
+    "op4_exact_dedup": """
+        WITH t AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
+        g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+              row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) AS place FROM t)
+        SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g
+    """,
+}

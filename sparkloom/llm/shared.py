@@ -27,8 +27,13 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of one Arrow batch that goes to a Python worker: memory, not rows, is what a long text takes.
+ARROW_BYTES = 8 << 20
+
+
 def ready(spark: SparkSession) -> None:
-    """Python workers started from another working directory find this package too."""
+    """Arrow batches are small, and Python workers started from another working directory find this package too."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -56,7 +56,10 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions starts[0].., starts[1].., each run as long as lengths says, in one array."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+    kind = np.int32 if max(total, int(starts.max(initial=0))) < 2**31 else np.int64
+    at = np.arange(total, dtype=kind)
+    at += np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    return at
 
 
 class ByteBpe:
@@ -100,3 +103,37 @@ class ByteBpe:
         for k, x in single.items():
             out[at[k] : at[k] + len(x)] = x
         return out, counts
+
+
+class Encoder:
+    """Whole texts to ids, block by block. Units met before are looked up; the table of them is emptied when it has
+    MOST, so a task's memory doesn't grow with what it reads."""
+
+    MOST = 400_000
+
+    def __init__(self, bpe: ByteBpe):
+        self.bpe = bpe
+        self._clear()
+
+    def _clear(self) -> None:
+        self._of: dict[str, int] = {}
+        self._ids, self._counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, ids, counts): texts in a new order of rows, all their ids, and how many each text has."""
+        order, units, counts = split(texts)
+        coded = units.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self._of) + len(words) > self.MOST:
+            self._clear()
+        fresh = [w for w in words if w not in self._of]
+        if fresh:
+            self._of.update(zip(fresh, range(len(self._of), len(self._of) + len(fresh)), strict=True))
+            ids, n = self.bpe.encode([spelled(w) for w in fresh])
+            self._ids, self._counts = np.concatenate([self._ids, ids]), np.concatenate([self._counts, n])
+        at = np.cumsum(self._counts) - self._counts
+        used = np.array([self._of[w] for w in words], dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        n = self._counts[used]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ends = total[np.concatenate([[0], np.cumsum(counts)])]
+        return order, self._ids[ragged(at[used], n)], np.diff(ends)
