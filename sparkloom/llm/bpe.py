@@ -81,6 +81,7 @@ def _blocks(parts: int):
                 if held and size + n > BLOCK_BYTES:
                     yield from one(block, held)
                     block, held, size = block + 1, [], 0
+                    pa.default_memory_pool().release_unused()
                 held.append(x)
                 size += n
         if held:
@@ -107,7 +108,7 @@ def _encode_part(path: str):
 def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
     """A block's documents with their ids, little-endian unsigned 32-bit numbers in one binary."""
     keys = left["keys"].to_pylist()[0] if left.num_rows else []
-    numbers = _unpacked(left["numbers"].to_pylist()[0]).astype(np.int64) if left.num_rows else np.zeros(0, np.int64)
+    numbers = _unpacked(left["numbers"].to_pylist()[0]) if left.num_rows else np.zeros(0, np.uint32)
     numbers, (size, seen) = (numbers[:-2], numbers[-2:]) if len(keys) else (numbers, (0, 0))
     held = [(_unpacked(p).astype(np.int64), _unpacked(i)) for p, i in zip(right["places"].to_pylist(), right["ids"].to_pylist(), strict=True)]
     if any(p[-1] != seen for p, _ in held) or sum(len(p) - 1 for p, _ in held) != size:
@@ -118,11 +119,14 @@ def _assemble(left: pa.Table, right: pa.Table) -> pa.Table:
     ids = np.concatenate([np.zeros(0, np.uint32), *(i[len(p) :] for p, i in held)])
     at, n = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
     at[places], n[places] = np.cumsum(counts) - counts, counts
-    units, used = numbers[: len(keys)], numbers[len(keys) :]
-    data = ids[ragged(at[used], n[used])].astype("<u4")
-    per_unit = np.concatenate([[0], np.cumsum(n[used])])
+    units, used = numbers[: len(keys)].astype(np.int64), numbers[len(keys) :]
+    many = n.astype(np.int32)[used]
+    per_unit = np.concatenate([[0], np.cumsum(many)])
     ends = per_unit[np.concatenate([[0], np.cumsum(units)])] * 4
+    del per_unit
+    data = ids.astype("<u4", copy=False)[ragged(at.astype(np.int32)[used], many)]
     blob = pa.Array.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+    pa.default_memory_pool().release_unused()
     return pa.table({"key": pa.array(keys, pa.int64()), "ids": blob.cast(pa.binary())})
 
 

@@ -1,8 +1,8 @@
 """Units: the pieces of a text that a byte-level BPE never merges across.
 
-A unit starts at a white-space character that follows a character which is surely not white space, so the
+A unit starts at a space or line feed that follows a character which is surely not white space (nor U+2581, which stands for a space in some vocabularies), so the
 pre-tokenizer's pattern always has a boundary there and each unit can be encoded alone. Units are kept in a short
-form that Arrow can split out at C++ speed: "\\x01" + unit for one at the start of a text, the unit itself when it
+form that Arrow can split out at C++ speed: "\\x01" + unit for the first one of a text, else the unit itself when it
 starts with a line feed, and the unit without its leading space otherwise.
 """
 
@@ -17,10 +17,10 @@ import pyarrow.compute as pc
 import tiktoken
 
 #: Every character that some definition counts as white space, control separators and zero-width ones included.
-DOUBTFUL = "\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}-\\x{2060}\\x{3000}\\x{feff}"
+DOUBTFUL = "\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}-\\x{2060}\\x{2581}\\x{3000}\\x{feff}"
 #: Texts in which white space isn't only single spaces and line feeds between other characters.
 _IRREGULAR = f"[{DOUBTFUL}][{DOUBTFUL}]|^[{DOUBTFUL}]|[{DOUBTFUL}]$|[\\t\\f\\r\\x01{DOUBTFUL[2:]}]"
-_CUT = re.compile("(?<=[^" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", DOUBTFUL) + "])(?=[ \\t\\n\\r\\f\\v])")
+_CUT = re.compile("(?<=[^" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", DOUBTFUL) + "])(?=[ \\n])")
 #: Fixed value: the pre-tokenizer's published pattern for this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = "<|endoftext|>"
@@ -46,7 +46,7 @@ def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     plain = pc.binary_join_element_wise("\x01", pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n"), "")
     lists = pc.split_pattern(plain, " ")
     counts = [pc.list_value_length(lists).to_numpy(zero_copy_only=False)]
-    rest = [[_short(u) for u in _CUT.split(t)] if t else [] for t in texts.filter(pa.array(odd)).to_pylist()]
+    rest = [["\x01" + u if k == 0 else _short(u) for k, u in enumerate(_CUT.split(t))] if t else [] for t in texts.filter(pa.array(odd)).to_pylist()]
     counts.append(np.array([len(x) for x in rest], dtype=np.int64))
     units = pa.concat_arrays([lists.flatten(), pa.array([u for x in rest for u in x], lists.type.value_type)])
     return order, units, np.concatenate(counts).astype(np.int64)
