@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, packing, quality_rules
+from . import bpe, exact_dedup, jaccard_join, langid, packing, quality_classifier, quality_rules, token_counts, toxicity
 from .shared import table
 
 
@@ -31,6 +31,12 @@ def fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), fold(4) != 2)
+    return toxicity.score(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted", "llr")
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     found = langid.classify(docs, langid.learn(docs, fold(5) != 0))
@@ -41,19 +47,40 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor, 1 good but toxic, 2 good."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    ratings = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    ratings = ratings.select("doc_id", (F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))).alias("grade"))
+    model = quality_classifier.learn(docs, ratings, fold(4) != 2)
+    return quality_classifier.grade(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "expected_grade", "tail_prob", "selected")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_toxicity": op2_toxicity,
     "op3_langid": op3_langid,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 
