@@ -125,3 +125,16 @@ def classify(docs: DataFrame, contents: dict[str, bytes], key: str = "doc_id", t
 
     out = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     return out.mapInArrow(run, "key long, lang_pred string, score double, accepted boolean").withColumnRenamed("key", key)
+
+
+def kept_rows(docs: DataFrame, contents: dict[str, bytes], text: str = "text") -> DataFrame:
+    """docs without the rows whose language can't be told, all columns, judged where they are read (no shuffle)."""
+    ready(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(contents)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Classifier(held.value)
+        for b in batches:
+            yield b.filter(pa.array([model.predict(t)[2] for t in normal(b[text])], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

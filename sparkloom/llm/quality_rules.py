@@ -140,3 +140,18 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     ready(docs.sparkSession)
     out = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_measure, _SCHEMA)
     return out.withColumn("kept", ~F.col("base_failed") & F.col("verdict").isNull()).withColumnRenamed("key", key)
+
+
+def kept_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs without the rows that the rules reject, all columns, judged where they are read (no shuffle)."""
+    ready(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                own = pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), pc.cast(part[text], pa.string())], names=["key", "text"])
+                verdict = next(iter(_measure(iter([own]))))
+                yield part.filter(pc.and_(pc.invert(verdict["base_failed"]), pc.is_null(verdict["verdict"])))
+
+    return docs.mapInArrow(run, docs.schema)

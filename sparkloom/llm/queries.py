@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, langid, packing, quality_classifier, quality_rules, token_counts, toxicity
+from . import bpe, exact_dedup, html_extract, jaccard_join, langid, packing, quality_classifier, quality_rules, token_counts, toxicity
 from .shared import table
 
 
@@ -64,6 +64,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
+    "op8_html_extract": op8_html_extract,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
