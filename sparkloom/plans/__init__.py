@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .tables import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
