@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import measures as M
 from ..operators import series as S
 from ..operators import validation as V
+from ..sources.files import replace_partition, scan_partitions
+from ..sources.scratch import scratch
+from ..streaming.events import dedupe, drained, source
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -236,3 +239,47 @@ def M23_category_codes(spark, d):
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def S03_read_json_lines(spark, d):
     return _t(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def X01_dedupe_stream(spark, d):
+    """Every event is delivered twice; the stream keeps one."""
+    twice = source(spark, f"{d}/events.parquet").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return drained(dedupe(twice, ["event_id"], "ts", "1 hour").select("event_id", "user_id", "event_type"), scratch(spark))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' AND l_returnflag = 'N'")
+def S06_scan_partitions(spark, d):
+    """lineitem laid out by month of shipment, then a range of days read back."""
+    path = scratch(spark)
+    replace_partition(_t(spark, d, "lineitem").withColumn("dt", F.to_date("l_shipdate")).withColumn("month", F.date_format("dt", "yyyy-MM")), path, "month")
+    return scan_partitions(spark, path, "dt", "1995-01-01", "1996-12-31", ["l_orderkey", "l_linenumber", "l_quantity"], F.col("month").between("1995-01", "1996-12") & (F.col("l_returnflag") == "N"))
+
+
+@query("SELECT user_id, day, n, views FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (event_type = 'view') AS views FROM events GROUP BY 1, 2) WHERE n >= 3 AND views = 0")
+def P07_exclude_by_volume(spark, d):
+    days = _t(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "view").alias("views"))
+    return days.filter("n >= 3 and views = 0")
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n_orders, min(CAST(o_orderdate AS DATE)) AS first_day, max(CAST(o_orderdate AS DATE)) AS last_day, CAST(coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)), 0) AS BIGINT) AS lifetime_cents FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def A17_customer_value(spark, d):
+    """Orders are summed by customer before the join."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    sums = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("o_orderkey").alias("n_orders"), F.min(F.to_date("o_orderdate")).alias("first_day"), F.max(F.to_date("o_orderdate")).alias("last_day"), F.sum(cents).alias("lifetime_cents"))
+    return _t(spark, d, "customer").select("c_custkey").join(sums, "c_custkey", "left").fillna(0, ["n_orders", "lifetime_cents"])
+
+
+@query("SELECT * FROM (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 100000) EXCEPT ALL SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def U02_same_multiset(spark, d):
+    orders = _t(spark, d, "orders")
+    columns = ["o_orderkey", "o_custkey", "o_totalprice"]
+    return orders.filter("o_totalprice > 100000").select(columns).exceptAll(orders.filter("o_orderstatus = 'F'").select(columns))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(NULL AS VARCHAR) AS o_orderpriority FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_orderstatus, NULL, o_orderpriority FROM orders WHERE o_orderstatus = 'O'")
+def U01_union_by_name(spark, d):
+    orders = _t(spark, d, "orders")
+    one = orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    two = orders.filter("o_orderstatus = 'O'").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return one.unionByName(two, allowMissingColumns=True)
