@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as X
 from ..operators import measures as M
 from ..operators import series as S
 from ..operators import validation as V
@@ -283,3 +284,29 @@ def U01_union_by_name(spark, d):
     one = orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus", "o_totalprice")
     two = orders.filter("o_orderstatus = 'O'").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     return one.unionByName(two, allowMissingColumns=True)
+
+
+@query("SELECT event_id, round(2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((radians(user_id % 90.0) - radians(value % 90.0)) / 2), 2) + cos(radians(value % 90.0)) * cos(radians(user_id % 90.0)) * pow(sin((radians(event_id % 180.0) - radians(value % 180.0)) / 2), 2)))), 0) AS metres FROM events")
+def F01_haversine(spark, d):
+    lat1, lon1, lat2, lon2 = F.col("value") % 90.0, F.col("value") % 180.0, F.col("user_id") % 90.0, F.col("event_id") % 180.0
+    return _t(spark, d, "events").select("event_id", F.round(X.haversine_m(lat1, lon1, lat2, lon2), 0).alias("metres"))
+
+
+@query("SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders")
+def F06_cents(spark, d):
+    """Prices as money text, read back as cents."""
+    text = X.format_cents(F.round(F.col("o_totalprice") * 100).cast("long"))
+    return _t(spark, d, "orders").select("o_orderkey", X.parse_cents(text).alias("cents"))
+
+
+@query("""WITH g AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS k FROM events GROUP BY 1)
+ SELECT user_id, round((k/n + 3.8416/(2*n) - 1.96*sqrt((k/n)*(1-k/n)/n + 3.8416/(4.0*n*n))) / (1 + 3.8416/n), 6) AS low, round((k/n + 3.8416/(2*n) + 1.96*sqrt((k/n)*(1-k/n)/n + 3.8416/(4.0*n*n))) / (1 + 3.8416/n), 6) AS high FROM g""")
+def F11_wilson(spark, d):
+    counts = _t(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "purchase").alias("k"))
+    low, high = X.wilson(F.col("k"), F.col("n"))
+    return counts.select("user_id", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query("SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM customer")
+def F05_slug(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", X.slug(F.col("c_name")).alias("slug"))
