@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import profiles  # noqa: F401  (registers its queries)
 from .tables import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
