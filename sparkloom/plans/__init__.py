@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import profiles  # noqa: F401  (registers its queries)
+from . import indexes, profiles  # noqa: F401  (they register their queries)
 from .tables import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
