@@ -72,6 +72,8 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             crc = [zlib.crc32(data[a : a + 4 * k]) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
             keys = b["key"].take(pa.array(order)).take(pa.array(doc))
             yield pa.RecordBatch.from_arrays([keys, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["key", "piece", "start", "length", "ids_crc32"])
+            del b, flat, data, ids, keys
+            pa.default_memory_pool().release_unused()
 
     out = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     return out.mapInArrow(run, "key long, piece int, start long, length long, ids_crc32 long").withColumnRenamed("key", key)

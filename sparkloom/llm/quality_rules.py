@@ -153,5 +153,7 @@ def kept_rows(docs: DataFrame, text: str = "text") -> DataFrame:
                 own = pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), pc.cast(part[text], pa.string())], names=["key", "text"])
                 verdict = next(iter(_measure(iter([own]))))
                 yield part.filter(pc.and_(pc.invert(verdict["base_failed"]), pc.is_null(verdict["verdict"])))
+                del own, part, verdict
+                pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
 
 
 #: Bytes of one Arrow batch that goes to a Python worker: memory, not rows, is what a long text takes.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def ready(spark: SparkSession) -> None:
