@@ -5,7 +5,10 @@ every set at the root of a tree and splits a node's sets again and again on samp
 draws one or two of the COORDINATES of a min-hash sketch, 1 / SIMILARITY on average, and sets with the same token there go on together.
 A node of one set ends, a node of at most SMALL sets is compared by brute force, a larger one is split again. From
 the DEPTH-th split on, a large node may be a dense group: each of its sets is compared with the group's centre, those
-like it are settled there, and only the others are split on, so no dense group's pairs are all made.
+like it leave the run, and only the others are split on. What leaving has lost is made up for afterwards: when
+the links found so far have been verified, pairs of sets that left with any set of the same node are compared in
+blocks of at most BLOCK sets a side, unless the two are of one class already. So only pairs that can't change a class
+are left out.
 Sketches only discard
 pairs far below the threshold; every other pair is verified on the whole texts.
 
@@ -13,7 +16,8 @@ A pair at the threshold is still together after DEPTH splits of one run with a p
 SIMILARITY ** DEPTH, so all RUNS part it before with at most (1 - SIMILARITY ** DEPTH) ** RUNS: the runs are as many
 as TARGET_RECALL asks for.
 
-n_links counts the verified links to other texts: all of them in groups up to SMALL, those with centres in denser ones.
+n_links counts the verified links to other texts: all of them in groups up to SMALL; of denser groups the links with
+centres and those that join classes.
 class_id is the largest key among the texts that links connect. Texts with fewer than five words have their whole word
 sequence as the only shingle; texts without words link to no other text. A null text counts as empty. Rows with equal
 texts share a class. Repeated rows each get a row; an empty table gives none; other columns are ignored.
@@ -41,6 +45,10 @@ COORDINATES, DEPTH, SMALL = 64, 4, 24
 RUNS = math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - SIMILARITY**DEPTH))
 #: Pairs whose sketches agree less than this are four standard deviations below the threshold.
 SURELY_BELOW = SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
+#: Sets whose sketches agree less with a centre can't be candidates of any set that left for it (triangle inequality).
+OUT_OF_REACH = 2 * SURELY_BELOW - 1
+#: Sets on one side of a comparison of a dense node's sets.
+BLOCK = 512
 _CENTRES = 3
 BITS = 1 << 25
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -136,8 +144,25 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (left, right)], names=["a", "b"])
 
 
-def _alike(one: pd.Series, two: pd.Series) -> pd.Series:
-    return pd.Series([bool((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).mean() >= SURELY_BELOW) for x, y in zip(one, two, strict=True)], dtype=bool)
+def _agreement(one: pd.Series, two: pd.Series) -> pd.Series:
+    return pd.Series([float((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).mean()) for x, y in zip(one, two, strict=True)], dtype="float64")
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of different classes in a block, or between two, one of each pair at least having left for a centre."""
+    for b in batches:
+        for same, members in zip(b["same"].to_pylist(), b["members"].to_pylist(), strict=True):
+            reps, label, left, block = (np.array([m[c] for m in members]) for c in ("rep", "label", "left", "block"))
+            sketch = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint32).reshape(-1, COORDINATES)
+            for start in range(0, len(reps), 128):
+                at = slice(start, start + 128)
+                wanted = (label[at, None] != label) & (left[at, None] | left) & (reps[at, None] < reps)
+                if not same:
+                    wanted &= block[at, None] != block
+                i, j = np.nonzero(wanted)
+                i += start
+                hit = _near(sketch[i], sketch[j])
+                yield pa.RecordBatch.from_arrays([pa.array(reps[i[hit]], pa.int64()), pa.array(reps[j[hit]], pa.int64())], names=["a", "b"])
 
 
 def shingle_set(text: str | None) -> set[tuple[str, ...]]:
@@ -161,27 +186,31 @@ def _similarity(one: pd.Series, two: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def _pairs(sets: DataFrame) -> DataFrame:
-    """(a, b): pairs that met in a small node, and members of dense nodes with their centres."""
+def _pairs(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b): pairs that met in a small node, and members of dense nodes with their centres; (node, rep, left): the
+    sets of dense nodes in reach of those that left for the centre."""
     sketches = sets.select("rep", "sketch")
     runs = F.explode(F.array(*(F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(f"run {r}")).alias("node")) for r in range(RUNS)))).alias("x")
     rows = sketches.select("rep", "sketch", runs).select("rep", "x.run", "x.node", "sketch")
     found: list[DataFrame] = []
+    reached: list[DataFrame] = []
     level = 0
     while True:
         level += 1
         below = stored(rows.mapInArrow(_children, "rep long, run int, node long"))
         dense = _settled(below, sketches, found)
         if dense.isEmpty():
-            return _united(found)
+            return _united(found), _united(reached) if reached else None
         rows = stored(dense.join(sketches, "rep").select("rep", "run", "node", "sketch"))
         if level < DEPTH:
             continue
         # the centre is drawn by a hash of the key that few runs share, so that runs agree on pairs
         order = F.struct(F.xxhash64("rep", F.col("run") % _CENTRES), "rep")
         centre = rows.groupBy("node").agg(F.min_by("rep", order).alias("centre"), F.min_by("sketch", order).alias("centre_sketch"))
-        told = stored(rows.join(centre, "node").withColumn("alike", F.pandas_udf(_alike, "boolean")("sketch", "centre_sketch")).drop("centre_sketch"))
+        agrees = F.pandas_udf(_agreement, "double")("sketch", "centre_sketch")
+        told = stored(rows.join(centre, "node").withColumn("agrees", agrees).withColumn("alike", F.col("agrees") >= SURELY_BELOW).drop("centre_sketch"))
         found.append(stored(told.filter("alike and rep != centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()))
+        reached.append(told.filter(F.col("agrees") >= OUT_OF_REACH).select("node", "rep", F.col("alike").alias("left")))
         rest = told.filter("not alike").select("rep", "run", F.xxhash64("node", F.lit("rest")).alias("node"))
         rows = stored(_settled(rest, sketches, found).join(sketches, "rep").select("rep", "run", "node", "sketch"))
 
@@ -202,6 +231,18 @@ def _small(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     return groups.select("members").mapInArrow(_brute, "a long, b long")
 
 
+def _crossing(reached: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): candidates of different classes among the sets of dense nodes, compared block by block."""
+    labelled = reached.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("root", "rep"))
+    mixed = labelled.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = stored(labelled.join(mixed, "node").withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")))
+    with_sketch = dealt.join(sets.select("rep", "sketch"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = with_sketch.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    met = sides.groupBy("node", "one", "two").agg(F.collect_list(F.struct("rep", "label", "left", "block", "sketch")).alias("members"))
+    return met.select((F.col("one") == F.col("two")).alias("same"), "members").mapInArrow(_cross, "a long, b long").distinct()
+
+
 def _united(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -254,13 +295,22 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     sketched = stored(source.mapInArrow(_sketch, "key long, digest binary, full boolean, sketch binary"))
     sets = stored(sketched.filter("full").groupBy("digest").agg(F.max("key").alias("rep"), F.any_value("sketch").alias("sketch")).filter("rep is not null"))
-    pairs = stored(_pairs(sets))
+    pairs, reached = _pairs(sets)
+    found = _verified(stored(pairs), source)
+    if reached is not None:
+        more = stored(_crossing(reached, components(found), sets))
+        found = _united([found, _verified(more, source)])
+    return sketched.select("key", "digest", "full"), found
+
+
+def _verified(pairs: DataFrame, source: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the pairs whose whole texts are similar."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     # the same joins at every size: only texts that a pair names are shuffled
     texts = stored(_maybe(source, needed).join(needed.hint("merge"), F.col("key") == F.col("rep"), "left_semi").dropDuplicates(["key"]))
     one, two = texts.select(F.col("key").alias("a"), F.col("text").alias("one")), texts.select(F.col("key").alias("b"), F.col("text").alias("two"))
     checked = pairs.join(two.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", F.pandas_udf(_similarity, "double")("one", "two").alias("similarity"))
-    return sketched.select("key", "digest", "full"), stored(checked.filter(F.col("similarity") >= SIMILARITY))
+    return stored(checked.filter(F.col("similarity") >= SIMILARITY))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import struct
 import zlib
@@ -90,6 +91,24 @@ def test_a_dense_group_is_one_class(spark):
     assert {r.class_id for r in got} == {149} and all(r.n_links > 0 for r in got)
 
 
+def test_dense_groups_that_drift_equal_brute_force(spark):
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(words, places, tag):
+        return [f"{tag}.{i}" if i in places else w for i, w in enumerate(words)]
+
+    twins = [changed(base, set(random.Random(k).sample(range(300), 5)), f"t{k}") for k in range(120)]
+    rows = [*twins, *(changed(t, {(k * 11 + 5) % 300}, "u") for k, t in enumerate(twins))]
+    chain = [f"c{i}" for i in range(100)]
+    for k in range(80):
+        chain = changed(chain, {k * 13 % 100}, f"r{k}")
+        rows.append(chain)
+    texts = {i: " ".join(r) for i, r in enumerate(rows)}
+    got = jaccard_join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    classes, _ = brute_classes(texts)
+    assert len(set(classes.values())) > 90 and {r.doc_id: r.class_id for r in got} == classes
+
+
 def plain_counts(text: str) -> tuple:
     words = re.findall("[^\x20\x09-\x0d]+", text)
     windows: dict = {}
