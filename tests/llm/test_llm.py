@@ -187,6 +187,14 @@ def test_html_extraction(spark):
     assert html_extract.extract(df.filter("false")).count() == 0
 
 
+def test_html_boilerplate_is_counted_over_the_whole_host(spark):
+    n = 10 * html_extract.GROUP
+    rare = "<div>this notice stands on four pages of the host only</div>"
+    pages = [(i, "http://h/x", f"<body><div>About us</div>{rare if i % (n // 4) == 0 else ''}<div>own text number{i} of page{i} goes{i} here{i}</div></body>") for i in range(n)]
+    got = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"own text number{i} of page{i} goes{i} here{i}" for i in range(n)}
+
+
 def test_pipeline_keeps_what_its_stages_keep(spark):
     import corpus_pipeline
 
