@@ -252,7 +252,8 @@ def _unmet(t: pa.Table) -> pa.Table:
 
 
 def _tile(t: pa.Table) -> pa.Table:
-    """Links of a tile: each linked set's number of links, and the least set (root) of its class within the tile."""
+    """Links of a tile: each linked set's number of links, and the largest set (root) of its class within the tile."""
+    t = t.sort_by([("rep", "descending")])
     one, two, hit = _new_pairs(t)
     data = t["shingles"].to_pylist()
     lengths = np.array([len(x) // 8 for x in data], np.int64)
