@@ -50,6 +50,19 @@ def test_token_counts_equal_the_library(spark, odd, empty):
     assert token_counts.count(empty, path).count() == 0
 
 
+def test_prefix_counts_equal_the_library(spark, odd):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    p = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(3)
+    parts = ["a", "e", "n", "t", " ", "  ", "\n", "x", "▁", "é", "漢", "🙂", "'", "1", "\t", "\u200b", "the", "ing", ".", " \n", "\n  "]
+    texts = ["x\n\n  xa", "don't\n\n  xa", "", None, "a" * 300, *("".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(800))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = {i: [len(p.encode((t or "")[:k])) for k in range(len(t or "") + 1)] for i, t in enumerate(texts)}
+    assert {x.doc_id: x.tokens for x in token_counts.prefix_counts(docs, path).collect()} == wanted
+    for x in token_counts.count(docs, path, limit=5).collect():
+        assert x.fits_chars == max(k for k, n in enumerate(wanted[x.doc_id]) if n <= 5)
+
+
 def test_exact_dedup(odd, empty):
     got = {r.doc_id: r for r in exact_dedup.dedup(odd).collect()}
     assert len(got) == len(ODD) + 1 and got[0].keep_id == 1 and got[0].group_size == 2 and not got[3].kept and got[4].kept
@@ -91,6 +104,32 @@ def test_a_dense_group_is_one_class(spark):
     assert {r.class_id for r in got} == {149} and all(r.n_links > 0 for r in got)
 
 
+@pytest.mark.parametrize("n", [200, 2000])
+def test_every_link_of_a_dense_group_is_counted(spark, n):
+    r = random.Random(1)
+    texts = {}
+    for k in range(n):
+        words = [f"w{i}" for i in range(200)]
+        for p in r.sample(range(200), r.randint(1, 4)):
+            words[p] = f"x{k}.{p}"
+        texts[k] = " ".join(words)
+    got = jaccard_join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    classes, degree = brute_classes(texts)
+    found, real = sum(x.n_links for x in got), sum(degree.values())
+    print(f"{n} near copies: {found} of {real} link ends")
+    assert {x.doc_id: x.class_id for x in got} == classes and 0.99 * real <= found <= real
+
+
+def test_rows_that_repeat_a_key_are_told_apart(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (1, two), (2, one + " more"), (1, two), (None, two), (None, "quite another text than those above")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id or 0, x.class_id or 0, x.n_links, x.n_copies) for x in jaccard_join.join(docs).collect())
+    assert got == [(0, 0, 0, 1), (0, 1, 0, 3), (1, 1, 0, 3), (1, 1, 0, 3), (1, 2, 1, 1), (2, 2, 1, 1)]
+    kept = sorted((x.doc_id or 0, x.text) for x in jaccard_join.kept_rows(docs).collect())
+    assert kept == [(0, rows[5][1]), (1, two), (2, one + " more")]
+
+
 def test_dense_groups_that_drift_equal_brute_force(spark):
     base = [f"w{i}" for i in range(300)]
 
