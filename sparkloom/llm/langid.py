@@ -1,7 +1,8 @@
 """Language ID by compression: the language whose zstandard raw-content dictionary makes the text smallest.
 
-Learning takes, for each language, a bounded sample of labelled rows (SAMPLE_ROWS, chosen by a hash of the key) and
-fills a dictionary of at most DICTIONARY_BYTES with chunks of their texts. Predicting compresses every whole text, in
+Learning takes, for each language that has labelled rows, a bounded sample of them (SAMPLE_ROWS, chosen by a hash of the
+key) and fills a dictionary of at most DICTIONARY_BYTES with different pieces of their texts by turns: one piece of each
+text from a hashed place of it, then the next ones. Predicting compresses every whole text, in
 chunks so that the text's own past doesn't outweigh the dictionary, once with each. Letters are compared in lower
 case; digits, symbols and runs of white space count as one space, so junk and layout tell nothing.
 
@@ -23,16 +24,12 @@ from pyspark.sql import functions as F
 
 from .shared import ready
 
-#: Bounds of what is learned from: rows of each language, languages (by number of rows), and bytes of a dictionary.
-SAMPLE_ROWS, LANGUAGES, DICTIONARY_BYTES = 400, 64, 48_000
+#: Bounds of what is learned from: rows of each language, and bytes of a dictionary.
+SAMPLE_ROWS, DICTIONARY_BYTES = 400, 48_000
 CHUNK, PIECE = 1_000, 400
 #: A lead of less than NARROW of the smaller size, or of less than NARROW_BYTES, is too narrow to tell.
 NARROW, NARROW_BYTES = 0.002, 1
-#: Texts below SHORT bytes are searched for shorter matches and with more effort.
-SHORT = 400
-_WINDOW = {"window_log": 18, "hash_log": 17, "chain_log": 17, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-_QUICK = zstandard.ZstdCompressionParameters(min_match=4, search_log=4, target_length=32, strategy=zstandard.STRATEGY_GREEDY, **_WINDOW)
-_CLOSE = zstandard.ZstdCompressionParameters(min_match=3, search_log=6, target_length=64, strategy=zstandard.STRATEGY_BTLAZY2, **_WINDOW)
+_SEARCH = zstandard.ZstdCompressionParameters(min_match=3, search_log=5, target_length=48, strategy=zstandard.STRATEGY_LAZY2, window_log=18, hash_log=17, chain_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 def normal(texts: pa.Array) -> list[bytes]:
@@ -42,59 +39,53 @@ def normal(texts: pa.Array) -> list[bytes]:
     return pc.cast(words, pa.binary()).to_pylist()
 
 
-def dictionary(texts: list[str], most: int = DICTIONARY_BYTES) -> bytes:
-    """Pieces of the texts by turns, until the dictionary is full: many short looks at many texts."""
-    cut = [[t[i : i + PIECE] for i in range(0, len(t), PIECE)] for t in sorted(set(normal(pa.array(texts, pa.string()))))]
-    turn, out, size = 0, [], 0
-    while size < most and any(turn < len(c) for c in cut):
-        for c in cut:
-            if turn < len(c) and size < most:
-                out.append(c[turn])
-                size += len(c[turn]) + 1
-        turn += 1
-    return b" ".join(out)[:most]
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of each text from a hashed place on, around to it again, no more than a dictionary holds."""
+    for b in batches:
+        out: list[tuple] = []
+        for lang, draw, data in zip(b["lang"].to_pylist(), b["draw"].to_pylist(), normal(b["text"]), strict=True):
+            n = -(-len(data) // PIECE)
+            for turn in range(min(n, DICTIONARY_BYTES // PIECE)):
+                at = (draw + turn) % n * PIECE
+                out.append((lang, turn, draw, data[at : at + PIECE]))
+        columns = zip(*out, strict=True) if out else ((), (), (), ())
+        types = (pa.string(), pa.int32(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["lang", "turn", "draw", "piece"])
 
 
 def learn(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """A dictionary for each language, from the rows for which training holds and which have a language and a text.
 
-    Two passes: counts by language, then only the texts whose key's hash falls into the sample.
+    Two passes: counts by language, then only the texts whose key's hash falls into the sample; they are cut where they
+    are read, so that no task and no row holds more than pieces for one dictionary.
     """
+    ready(docs.sparkSession)
     rows = docs.filter(training & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
+    counts = rows.groupBy(lang).count().collect()
     if not counts:
         return {}
-    draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r[lang], min(1.0, 1.5 * SAMPLE_ROWS / r["count"] + 1e-9))))
-    drawn = rows.withColumn("_draw", draw).filter(F.col("_draw") <= F.element_at(share, F.col(lang)))
-    place = F.row_number().over(Window.partitionBy(lang).orderBy("_draw", key))
-    sample = drawn.withColumn("_place", place).filter(F.col("_place") <= SAMPLE_ROWS)
-    pieces = sample.groupBy(lang).agg(F.collect_list(F.col(text)).alias("texts"))
-    built = pieces.select(F.col(lang).cast("string").alias("lang"), "texts").mapInArrow(_build, "lang string, content binary").collect()
-    return {r["lang"]: bytes(r["content"]) for r in sorted(built, key=lambda r: r["lang"]) if r["content"]}
-
-
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        content = [dictionary(x) for x in b["texts"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([b["lang"], pa.array(content, pa.binary())], names=["lang", "content"])
+    scale = 1_000_000_007
+    draw = F.pmod(F.xxhash64(F.col(key)), F.lit(scale))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r[lang], min(1.0, SAMPLE_ROWS / r["count"] + 1e-9))))
+    sample = rows.select(F.col(lang).cast("string").alias("lang"), draw.alias("draw"), F.col(text).cast("string").alias("text")).filter(F.col("draw") <= scale * F.element_at(share, F.col("lang")))
+    cut = sample.mapInArrow(_pieces, "lang string, turn int, draw long, piece binary").groupBy("lang", "piece").agg(F.min(F.struct("turn", "draw")).alias("place"))
+    upto = F.sum(F.length("piece") + 1).over(Window.partitionBy("lang").orderBy("place", "piece"))
+    held = cut.withColumn("upto", upto).filter(F.col("upto") <= DICTIONARY_BYTES).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("pieces"))
+    return {r["lang"]: b" ".join(bytes(x["piece"]) for x in r["pieces"]) for r in held.orderBy("lang").collect()}
 
 
 class Classifier:
     def __init__(self, contents: dict[str, bytes]):
         self.names = sorted(contents)
         self._by = []
-        for params in (_QUICK, _CLOSE):
-            each = []
-            for n in self.names:
-                d = zstandard.ZstdCompressionDict(contents[n], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(compression_params=params)
-                each.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
-            self._by.append(each)
+        for n in self.names:
+            d = zstandard.ZstdCompressionDict(contents[n], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=_SEARCH)
+            self._by.append(zstandard.ZstdCompressor(dict_data=d, compression_params=_SEARCH))
 
     def sizes(self, data: bytes) -> list[int]:
         chunks = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
-        return [sum(len(z.compress(c)) for c in chunks) for z in self._by[len(data) < SHORT]]
+        return [sum(len(z.compress(c)) for c in chunks) for z in self._by]
 
     def predict(self, data: bytes) -> tuple[str, float, bool]:
         """(language, score, accepted) of a normal text."""
