@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ready, stored
+from .shared import marked, ready, stored
 
 #: Counters of the summary, and how many digests it may name. A digest with over 3.5 / COUNTERS of the rows is named.
 COUNTERS, NAMED = 16_384, 4_096
@@ -48,9 +48,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     rows = digests(docs, key, text)
     winners = frequent(rows, key)
     hot = rows.join(F.broadcast(winners), "digest")
-    group = Window.partitionBy("digest")
     rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    rest = rest.select("digest", key, "row_id", _best(key).over(group).alias("best"), F.count(F.lit(1)).over(group).alias("group_size"))
+    # aggregated partly before the shuffle, then joined back
+    groups = rest.groupBy("digest").agg(_best(key).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    rest = rest.join(groups.hint("merge"), "digest").select("digest", key, "row_id", "best", "group_size")
     both = hot.select(rest.columns).unionByName(rest)
     return both.select(
         key,
@@ -62,13 +63,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, all columns: copies of frequent texts go on the map side, what
-    is left is shuffled once by digest."""
+    """docs with one row of each group of equal texts, all columns. Copies of frequent texts go on the map side; of the
+    others, rows whose text is surely the only one stay where they are and the rest is shuffled by digest."""
     ready(docs.sparkSession)
-    winners = frequent(digests(docs, key, text), key)
-    best = F.broadcast(winners.select(F.lower(F.hex("digest")).alias("_digest"), F.col(f"best.{key}").alias("_best")))
+    rows = digests(docs, key, text)
+    winners = frequent(rows, key)
+    repeated = stored(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lower(F.hex("digest")).alias("digest")))
+    best = F.broadcast(winners.select(F.lower(F.hex("digest")).alias("_digest"), F.col(f"best.{key}").alias("_best"), F.lit(True).alias("_hot")))
     sha = F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256)
     left = docs.withColumn("_digest", sha).join(best, "_digest", "left")
-    left = left.filter(F.col("_best").isNull() | F.col(key).eqNullSafe(F.col("_best")))
+    left = left.filter(F.col("_hot").isNull() | F.col(key).eqNullSafe(F.col("_best")))
+    told = marked(left, F.col("_digest"), repeated, F.col("digest"))
     first = F.row_number().over(Window.partitionBy("_digest").orderBy(F.col(key).desc_nulls_last()))
-    return left.withColumn("_first", first).filter("_first = 1").select(docs.columns)
+    one = told.filter("_marked").withColumn("_first", first).filter("_first = 1")
+    return told.filter("not _marked").select(docs.columns).unionByName(one.select(docs.columns))
