@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def favourites(events: DataFrame, key: str, item: str) -> DataFrame:
     """Each key's most frequent item, the smallest on ties."""
@@ -72,7 +74,7 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -
 def category_codes(df: DataFrame, column: str) -> DataFrame:
     """Codes from 1 by falling frequency."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("code", F.row_number().over(Window.orderBy(F.desc("n"), column)))
+    return numbered(counts, "code", F.desc("n"), F.col(column))
 
 
 def n_per_group(df: DataFrame, group: str, n: int, *order: Column) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def user_year(days: DataFrame, key: str, day: str, n: str, support: int) -> DataFrame:
     """Totals of each key's days (one row for a key and day), in one aggregation: the weekend share is null below
@@ -103,7 +105,8 @@ def freshness(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
 def skew_profile(df: DataFrame, key: str) -> DataFrame:
     """One row: how many rows a key has, at the 50th, 90th and 99th percentile (a value that occurs) and at most."""
     sizes = df.groupBy(key).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("keys"))
-    upto = sizes.withColumn("_upto", F.sum("keys").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("keys").over(Window.partitionBy()))
+    total = sizes.agg(F.sum("keys")).first()[0] or 0
+    upto = running(sizes, "sum", F.col("keys"), "_upto", F.col("n")).withColumn("_all", F.lit(total))
     at = lambda p: F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * F.lit(p)), F.col("n")))
     return upto.agg(F.sum("keys").alias("n_keys"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.max("n").alias("most"))
 
@@ -120,13 +123,13 @@ def pareto(df: DataFrame, cost: str, value: str) -> DataFrame:
     """Costs (few distinct ones) that are worth their while: no smaller cost has as good a value, and each with its
     best value. A running maximum over one row for each cost, no self join."""
     best = df.groupBy(cost).agg(F.max(value).alias(value))
-    before = F.max(value).over(Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
-    return best.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col(value) > F.col("_before"))).drop("_before")
+    return running(best, "max", F.col(value), "_before", F.col(cost), itself=False).filter(F.col("_before").isNull() | (F.col(value) > F.col("_before"))).drop("_before")
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row that doesn't depend on the order of rows: their number, and the xor and sum of a 32-bit hash of each."""
-    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in columns))
+    # each value with its length before it, so that no two rows read alike; a null has none
+    text = F.concat(*(F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns))
     hashed = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
     return df.select(hashed.alias("_h")).agg(F.count("*").alias("n"), F.bit_xor("_h").alias("xor"), F.sum("_h").alias("total"))
 

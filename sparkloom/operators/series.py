@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def streaks(days: DataFrame, key: str, day: str) -> DataFrame:
     """Each key's longest run of consecutive days, the earliest on ties. days may repeat a (key, day)."""
@@ -46,13 +48,13 @@ def shift_join(daily: DataFrame, keys: Sequence[str], day: str, value: str, days
 def standing(counts: DataFrame, value: str, n: str) -> DataFrame:
     """For each distinct value how many rows are at or above it. counts: a row for each value, with its number of rows."""
     spread = counts.groupBy(value).agg(F.sum(n).alias("n"))
-    return spread.withColumn("at_or_above", F.sum("n").over(Window.orderBy(F.desc(value))))
+    return running(spread, "sum", F.col("n"), "at_or_above", F.desc(value))
 
 
 def late(events: DataFrame, source: str, arrival: Sequence[str], ts: str, seconds: int) -> DataFrame:
     """Whether an event is further behind its source's newest one so far than allowed."""
-    newest = F.max(ts).over(Window.partitionBy(source).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return events.withColumn("late", F.col(ts) < newest - F.make_dt_interval(secs=F.lit(seconds)))
+    seen = running(events, "max", F.col(ts), "_newest", *(F.col(a) for a in arrival), by=[source])
+    return seen.withColumn("late", F.col(ts) < F.col("_newest") - F.make_dt_interval(secs=F.lit(seconds))).drop("_newest")
 
 
 def trailing_median(daily: DataFrame, keys: Sequence[str], day: str, value: str, rows: int, least: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import indexes, profiles, rulesets  # noqa: F401  (they register their queries)
+from . import claims, indexes, profiles, rulesets  # noqa: F401  (they register their queries)
 from .tables import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -66,7 +66,7 @@ def A22_summarise_runs(spark, d):
     return P.summarise_runs(_t(spark, d, "events"), "user_id", "value", F.col("event_type") != "error", ["ts", "event_id"], "event_id")
 
 
-@query("SELECT count(*) AS n, bit_xor(h) AS xor, CAST(sum(h) AS BIGINT) AS total FROM (SELECT CAST('0x' || substr(md5(o_orderkey || '|' || o_custkey || '|' || coalesce(o_orderstatus, '?')), 1, 8) AS BIGINT) AS h FROM orders)")
+@query("SELECT count(*) AS n, bit_xor(h) AS xor, CAST(sum(h) AS BIGINT) AS total FROM (SELECT CAST('0x' || substr(md5(coalesce(length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey, '-') || coalesce(length(CAST(o_custkey AS VARCHAR)) || ':' || o_custkey, '-') || coalesce(length(o_orderstatus) || ':' || o_orderstatus, '-')), 1, 8) AS BIGINT) AS h FROM orders)")
 def A28_fingerprint(spark, d):
     return P.fingerprint(_t(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
 
