@@ -242,3 +242,69 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
     quality = {r.doc_id for r in quality_rules.measure(docs).filter("kept").collect()}
     assert out and {r.doc_id for r in out} <= quality
     assert len({r.text for r in docs.filter(F.col("doc_id").isin([r.doc_id for r in out])).collect()}) == len(out)
+
+
+def test_toxicity_equals_a_small_plain_model(spark):
+    import math
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = {i: " ".join(r.choice(words) if r.random() > 0.1 else ("bad" if i % 3 == 0 else "good") for _ in range(r.randint(1, 30))) for i in range(90)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in texts], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, F.lit(True))
+    pairs = [{(u, w) for i, t in texts.items() if int(i % 3 == 0) == c for u, w in zip(["<s>", *t.split()], t.split(), strict=False)} for c in (0, 1)]
+
+    def plain(held, word, lower):
+        counts = [sum(w == x for _, x in held) for w in {x for _, x in held}]
+        one, two = counts.count(1), counts.count(2)
+        d = min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
+        return max(sum(word == x for _, x in held) - d, 0) / len(held) + d * len(counts) / len(held) * lower
+
+    def ratio(word):
+        both = pairs[0] | pairs[1]
+        shared = plain(both, word, 1 / (len({w for _, w in both}) + 1))
+        return math.log(plain(pairs[1], word, shared) / plain(pairs[0], word, shared))
+
+    text = "w1 bad w2 good never"
+    got = toxicity.features(pa.array([text]), model["ratios"])[0]
+    want = sorted((ratio(w) for w in text.split()), reverse=True)
+    assert abs(got[1] - sum(want) / 5) < 1e-4 and abs(got[2] - want[0]) < 1e-4 and abs(got[3] - sum(want[:3]) / 3) < 1e-4
+
+
+def test_html_runs_equal_brute_force_on_a_host_of_1000_pages():
+    r = random.Random(2)
+    words = [f"v{i}" for i in range(30)]
+    pages = [[" ".join(r.choice(words) for _ in range(r.randint(1, 9))) for _ in range(2)] for _ in range(1000)]
+    on: dict = {}
+    for i, page in enumerate(pages):
+        for block in page:
+            tokens = block.split(" ")
+            for k in range(max(1, len(tokens) - html_extract.RUN + 1)):
+                on.setdefault(" ".join(tokens[k : k + html_extract.RUN]), set()).add(i)
+    assert html_extract.runs(pages) == {html_extract._hash(x): len(ids) for x, ids in on.items()}
+
+
+def test_html_of_doubtful_names_and_odd_markup(spark):
+    share = "<div class='share'>Send this page to all of your friends now</div>"
+    page = "<body><header><h1>Site</h1></header><article><header><h1>Title</h1><i>by line</i></header><p title=\"a>one</p><p class=it's>two {i}</p><div class='search-results'>found {i} things</div>{share}</article><aside>side</aside></body>"
+    rows = [(i, "http://h/x", page.replace("{i}", f"n{i}").replace("{share}", share), "clash") for i in range(5)]
+    rows += [(1, "http://h/x", rows[1][2], "again"), (None, None, "<p>no container, no host</p>", None), (7, "http://g/", "<article>" + "<p>long text</p>" * 5000 + "</article>", None)]
+    got = sorted(((r.page_id if r.page_id is not None else -1, r.text) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()))
+    text = {i: f"Title\none\ntwo n{i}\nfound n{i} things" for i in range(5)}
+    assert got == sorted([*text.items(), (1, text[1]), (-1, "no container, no host"), (7, "\n".join(["long text"] * 5000))])
+
+
+def test_bpe_of_odd_rows_equals_the_library(odd, empty):
+    from sparkloom.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    got = bpe.decode(bpe.encode(odd, path), path).collect()
+    assert len(got) == len(ODD) + 1
+    for r in got:
+        assert list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids)) == t.encode(texts[r.doc_id], add_special_tokens=False).ids and r.text == texts[r.doc_id]
+    assert bpe.encode(empty, path).count() == 0
