@@ -271,11 +271,16 @@ def A17_customer_value(spark, d):
     return _t(spark, d, "customer").select("c_custkey").join(sums, "c_custkey", "left").fillna(0, ["n_orders", "lifetime_cents"])
 
 
-@query("SELECT * FROM (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 100000) EXCEPT ALL SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+_SIDES = "a AS (SELECT o_orderkey, o_custkey, round(o_totalprice, 1) AS price FROM orders WHERE o_totalprice > 100000), b AS (SELECT o_orderkey, o_custkey, round(o_totalprice, 1) AS price FROM orders WHERE o_orderstatus = 'F')"
+
+
+@query(f"WITH {_SIDES} SELECT 'first' AS only_in, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'second', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
 def U02_same_multiset(spark, d):
+    """Rows that one side has more often than the other, both ways, prices rounded; none if the tables are the same."""
     orders = _t(spark, d, "orders")
-    columns = ["o_orderkey", "o_custkey", "o_totalprice"]
-    return orders.filter("o_totalprice > 100000").select(columns).exceptAll(orders.filter("o_orderstatus = 'F'").select(columns))
+    a, b = (orders.filter(f).select("o_orderkey", "o_custkey", F.round("o_totalprice", 1).alias("price")) for f in ("o_totalprice > 100000", "o_orderstatus = 'F'"))
+    one, two = (x.exceptAll(y).select(F.lit(n).alias("only_in"), "*") for n, x, y in (("first", a, b), ("second", b, a)))
+    return one.unionByName(two)
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(NULL AS VARCHAR) AS o_orderpriority FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_orderstatus, NULL, o_orderpriority FROM orders WHERE o_orderstatus = 'O'")
