@@ -81,9 +81,9 @@ def expired(events: DataFrame, hold: str, ts: str, opens: Column, closes: Column
 
 def best_overlap(truth: DataFrame, found: DataFrame, key: str, start: str, end: str, share: float) -> DataFrame:
     """Each true interval with the found one of its key that overlaps it most (ties: the earlier), if by that share."""
-    s = lambda x: F.unix_micros(x.cast("timestamp")) / 1e6
+    s = lambda x: F.unix_micros(x.cast("timestamp"))
     other = found.select(key, s(c(start)).alias("_s"), s(c(end)).alias("_e"))
     mine = truth.select(key, c(start), s(c(start)).alias("_from"), s(c(end)).alias("_to"))
     met = mine.join(other, key).withColumn("_over", F.least("_to", "_e") - F.greatest("_from", "_s")).filter(c("_over") > 0).filter(c("_over") >= share * (c("_to") - c("_from")))
-    best = met.groupBy(key, start).agg(F.round(F.max("_over"), 3).alias("overlap"))
+    best = met.groupBy(key, start).agg(F.max("_over").alias("overlap_us"))
     return truth.select(key, start).distinct().join(best, [key, start], "left")

@@ -75,11 +75,11 @@ def X08_expire_holds(spark, d):
 
 
 _TRUTH = f"{_SESSIONS}, t AS (SELECT user_id, min(ts) AS start, max(ts) AS stop FROM s GROUP BY user_id, k), f AS (SELECT user_id, start + INTERVAL 1800 SECOND AS start, stop + INTERVAL 1800 SECOND AS stop FROM t WHERE user_id % 3 > 0)"
-_SEC = "(least(epoch_us(t.stop), epoch_us(f.stop)) - greatest(epoch_us(t.start), epoch_us(f.start))) / 1e6"
+_SEC = "least(epoch_us(t.stop), epoch_us(f.stop)) - greatest(epoch_us(t.start), epoch_us(f.start))"
 
 
-@query(f"""WITH {_TRUTH}, o AS (SELECT t.user_id, t.start, {_SEC} AS sec, (epoch_us(t.stop) - epoch_us(t.start)) / 1e6 AS len FROM t JOIN f ON f.user_id = t.user_id), b AS (SELECT user_id, start, round(max(sec), 3) AS overlap FROM o WHERE sec > 0 AND sec >= 0.5 * len GROUP BY 1, 2)
- SELECT user_id, start, overlap FROM t LEFT JOIN b USING (user_id, start)""")
+@query(f"""WITH {_TRUTH}, o AS (SELECT t.user_id, t.start, {_SEC} AS sec, epoch_us(t.stop) - epoch_us(t.start) AS len FROM t JOIN f ON f.user_id = t.user_id), b AS (SELECT user_id, start, max(sec) AS overlap_us FROM o WHERE sec > 0 AND sec >= 0.5 * len GROUP BY 1, 2)
+ SELECT user_id, start, overlap_us FROM t LEFT JOIN b USING (user_id, start)""")
 def J11_best_overlap(spark, d):
     truth = S.sessions(_t(spark, d, "events"), "user_id", "ts", "12 hours").withColumnRenamed("last", "stop")
     later = [(F.col(x) + F.expr("INTERVAL 1800 SECONDS")).alias(x) for x in ("start", "stop")]
