@@ -308,3 +308,23 @@ def test_bpe_of_odd_rows_equals_the_library(odd, empty):
     for r in got:
         assert list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids)) == t.encode(texts[r.doc_id], add_special_tokens=False).ids and r.text == texts[r.doc_id]
     assert bpe.encode(empty, path).count() == 0
+
+
+def test_pipeline_stages_on_odd_rows_equal_plain_versions(spark, odd):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = odd.unionByName(spark.createDataFrame([(50 + k, " ".join(f"w{i}" for i in range(80)) + f" {k % 3}", "en", "clash") for k in range(6)], odd.schema))
+    plain = [(r.doc_id, r.text or "") for r in docs.collect()]
+    exact = stages["exact_dedup"](spark, docs, DATA)
+    assert exact.columns == docs.columns
+    winners = {t: max((i for i, x in plain if x == t), key=lambda i: (i is not None, i or 0)) for _, t in plain}
+    kept = [(r.text or "", r.doc_id) for r in exact.collect()]
+    assert len(kept) == len(winners) and set(kept) == set(winners.items())
+    near = stages["jaccard_join"](spark, exact, DATA)
+    known = {i: t for t, i in winners.items() if i is not None}
+    classes, _ = brute_classes(known)
+    assert near.columns == docs.columns and {r.doc_id for r in near.collect()} == set(classes.values()) | ({None} if None in winners.values() else set())
+    for stage in ("quality_rules", "langid"):
+        kept = stages[stage](spark, docs, DATA)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} <= {i for i, _ in plain} and stages[stage](spark, docs.filter("false"), DATA).count() == 0
