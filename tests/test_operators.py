@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import claims, rulesets, silence
+from sparkloom.operators import claims, prices, rulesets, silence
 from sparkloom.operators.ranks import numbered, running
 
 
@@ -32,3 +32,68 @@ def test_rules_and_claims_on_empty_and_odd_tables(spark):
     values = spark.createDataFrame([(1.0,), (5.0,), (5.0,), (None,)], "v double")
     assert sorted((r.cut, r.n, r.at_or_above) for r in claims.cutpoints(values, "v", [0, 2, 9], 1).collect()) == [(0.0, 1, 3), (2.0, 2, 2)]
     assert silence.sessions(spark.createDataFrame([], "k long, ts timestamp_ntz"), "k", "ts", "1 hour").count() == 0
+
+
+def _accepted(rows):
+    """Plain day-by-day version of accept_daily over (market, item, day, price, volume)."""
+    from math import log
+    from statistics import median
+
+    out, kept = {}, {}
+    for day in sorted({r[2] for r in rows}):
+        today = [r for r in rows if r[2] == day]
+        for m, i, _, p, v in today:
+            votes = [log(q) for _, j, _, q, w in today if j == i and q and w and w > 0]
+            own = kept.setdefault((m, i), [])[-14:]
+            reason = None
+            if p:
+                if len(votes) >= 3:
+                    far, limit, kind = abs(log(p) - median(votes)), log(4), "cross_market"
+                elif len(own) >= 5:
+                    far, kind = abs(log(p) - median(own)), "own_history"
+                    limit = max(5 * 1.4826 * median(abs(b - a) for a, b in zip(own, own[1:], strict=False)), log(4))
+                else:
+                    far, limit, kind = 0, 1, None
+                reason = kind if far > limit else "untraded" if far > log(1.5) and not (v and v > 0) else None
+                if reason is None:
+                    kept[(m, i)].append(log(p))
+            out[(m, i, day)] = reason
+    return out
+
+
+def test_accepted_prices_equal_a_plain_fold(spark):
+    rows = []
+    for m in range(4):
+        for i in range(3):
+            for day in range(40):
+                p = 100.0 + 7 * ((m * 31 + i * 17 + day * 13) % 9)
+                p = p * 9 if (m + day * 5 + i) % 23 == 0 else p * 1.8 if (m + day) % 11 == 0 else p
+                volume = 5 if i == 0 or (m + day) % 3 == 0 and i == 1 and m < 2 else None if day % 2 else 0
+                rows.append((m, i, day, None if (m * day) % 29 == 3 else p, volume))
+    found = prices.accept_daily(spark.createDataFrame(rows, "m int, i int, d int, p double, v long"), "m", "i", "d", "p", "v").collect()
+    want = _accepted(rows)
+    assert {(r.m, r.i, r.d): r.reason for r in found} == want
+    assert {"cross_market", "own_history", "untraded", None} == set(want.values())
+    assert all((r.accepted is None) == (r.p is None or r.reason is not None) for r in found)
+
+
+def test_capped_weights_equal_rounds_of_dealing_out(spark):
+    groups = {"a": [60, 20, 10, 5, 5], "b": [1, 1], "c": [50, 50, 1, 1, 1, 1], "d": [7, 7, 7, 7], "e": [3]}
+    rows = [(g, i, x) for g, xs in groups.items() for i, x in enumerate(xs)]
+    got = {(r.g, r.i): r.share for r in prices.cap_weights(spark.createDataFrame(rows, "g string, i int, x long"), "g", "x", 0.3, ["i"]).collect()}
+    for g, xs in groups.items():
+        share = [x / sum(xs) for x in xs]
+        for _ in range(100):  # what is over the cap goes to those below it
+            over, below = sum(max(0, s - 0.3) for s in share), sum(s for s in share if s < 0.3)
+            share = [0.3 if s >= 0.3 else s * (1 + over / below) for s in share] if len(xs) * 0.3 > 1 else [1 / len(xs)] * len(xs)
+        assert all(abs(got[(g, i)] - s) < 1e-9 for i, s in enumerate(share)), g
+
+
+def test_prices_of_odd_and_empty_tables(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", None), ("a", -1.0), ("b", 5.0)], "k string, p double")
+    got = {r.k: (r.n, r.price) for r in prices.snapshot_prices(rows, ["k"], "p", 3).collect()}
+    assert got == {"a": (3, 2.0), "b": (1, None)}
+    assert prices.snapshot_prices(rows.filter("false"), ["k"], "p", 3).count() == 0
+    empty = spark.createDataFrame([], "m int, i int, d date, price double, volume long")
+    assert prices.build_basket(empty, "m", "i", F.lit(True), 1, 0.2, 100).count() == 0
+    assert prices.accept_daily(empty, "m", "i", "d", "price", "volume").count() == 0
