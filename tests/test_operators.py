@@ -1,8 +1,9 @@
 """Operators on nulls, ties, repeated rows, empty tables and clashing names."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import claims, prices, rulesets, silence
+from sparkloom.operators import claims, prices, reports, rulesets, silence
 from sparkloom.operators.ranks import numbered, running
 
 
@@ -97,3 +98,28 @@ def test_prices_of_odd_and_empty_tables(spark):
     empty = spark.createDataFrame([], "m int, i int, d date, price double, volume long")
     assert prices.build_basket(empty, "m", "i", F.lit(True), 1, 0.2, 100).count() == 0
     assert prices.accept_daily(empty, "m", "i", "d", "price", "volume").count() == 0
+
+
+def test_reports_of_odd_and_empty_tables(spark):
+    rows = spark.createDataFrame([(1, 0.0, 0.0, "2024-01-01 00:00:00"), (2, None, 0.0, "2024-01-02 00:00:00"), (3, 1.0, 1.0, None), (4, 1.0, 1.0, "2024-01-01 23:00:00")], "id int, lat double, lon double, ts string").withColumn("ts", F.to_timestamp_ntz("ts"))
+    seen = reports.live_view(rows, "lat", "lon", "ts", (-5, -5, 5, 5), 4000, 10, "id")
+    assert [r.id for r in seen.collect()] == [4]
+    assert reports.live_view(rows.filter("false"), "lat", "lon", "ts", (-5, -5, 5, 5), 4000, 10, "id").count() == 0
+    with pytest.raises(ValueError, match="unknown lang: xx"):
+        reports.filter_categories(rows, {"lang": ["fr", "xx"]}, {"lang": ["fr"]})
+    a = spark.createDataFrame([(1, 1.0, "x"), (2, None, "y"), (3, 2.0, None)], "k int, v double, s string")
+    b = spark.createDataFrame([(1, 1.0 + 1e-12, "x"), (2, None, "z"), (3, 2.1, None), (4, 0.0, "")], "k int, v double, s string")
+    assert reports.same_result(a, a, ["k"], ["v", "s"]).count() == 0
+    assert sorted((r.place, r["columns"]) for r in reports.same_result(a, b, ["k"], ["v", "s"]).collect()) == [(2, "s"), (3, "v"), (4, "row")]
+    lines = spark.createDataFrame([("a", '{"x": 1}'), ("a", '{"x": null, "y": 2}'), ("a", "{"), ("b", None)], "f string, t string")
+    assert sorted((r.source, r.name or "", r.lines, r.invalid, r.with_name, r.missing) for r in reports.feed_profile(lines, "f", "t").collect()) == [("a", "x", 3, 1, 2, 0), ("a", "y", 3, 1, 1, 1), ("b", "", 1, 1, 0, 0)]
+    gate = reports.regression_gate(a.filter("k = 2"), a, "k", "v", "v", 1, 0.1, 0.1)
+    assert sorted((r.k, r.failure) for r in gate.collect()) == [(1, "missing"), (1, "no_reference"), (3, "missing")]
+
+
+def test_total_order_holds_across_files(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("id * 7919 % 1009 AS k", "id")
+    reports.total_order_write(rows, str(tmp_path / "t"), "k")
+    files = sorted((tmp_path / "t").glob("part-*"))
+    told = [(r.k, r.id) for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert told == sorted(told) and len(told) == 5000
