@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import claims, indexes, lookups, prices, profiles, reports, rulesets, silence  # noqa: F401  (they register their queries)
+from . import claims, indexes, labels, lookups, prices, profiles, reports, rulesets, silence  # noqa: F401  (they register their queries)
 from .tables import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
