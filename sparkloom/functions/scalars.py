@@ -46,3 +46,70 @@ def morton(x: Column, y: Column, bits: int) -> Column:
 
 def slug(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def fix_time(received: Column, second: Column, skew: int = 5) -> Column:
+    """The moment nearest to received, but at most skew seconds after it, whose second of the minute is second; received
+    itself where second isn't 0 to 59."""
+    at = F.unix_seconds(received.cast("timestamp"))
+    back = F.pmod(at + skew - second, F.lit(60)) - skew
+    return F.when(second.between(0, 59), (F.date_trunc("second", received).cast("timestamp_ntz") - F.make_dt_interval(secs=back))).otherwise(received)
+
+
+def tier_of(n: Column, bounds: list[tuple[str, int]], lowest: str) -> Column:
+    """The first tier, from the highest, whose bound n reaches."""
+    out = F.lit(lowest)
+    for name, least in sorted(bounds, key=lambda b: b[1]):
+        out = F.when(n >= least, name).otherwise(out)
+    return F.when(n.isNotNull(), out)
+
+
+def jitter(*parts: Column) -> Column:
+    """A number in [0, 1) that depends on the parts alone."""
+    return F.crc32(F.concat_ws(":", *parts).cast("binary")) / F.lit(float(1 << 32))
+
+
+def surprise_bits(share: Column) -> Column:
+    """How many bits a fact of this share tells; null unless the share is above 0 and at most 1."""
+    return F.when((share > 0) & (share <= 1), -F.log2(share))
+
+
+def tag_topics(text: Column, words: dict[str, list[str]]) -> Column:
+    """Topics whose words stand among the text's runs of letters, case aside, most mentioned first, ties by name; empty for
+    null."""
+    runs = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
+    count = lambda ws: F.size(F.filter(runs, lambda w: w.isin(ws)))
+    told = F.array(*(F.struct((-count(ws)).alias("n"), F.lit(t).alias("topic")) for t, ws in words.items()))
+    return F.transform(F.array_sort(F.filter(told, lambda x: x["n"] < 0)), lambda x: x["topic"])
+
+
+def quantise(value: Column, low: Column, side: Column, bits: int = 16) -> Column:
+    """The place of a value in [low, low + side] in whole steps from 0 to 2^bits - 1, values outside at the ends."""
+    top = (1 << bits) - 1
+    return F.greatest(F.lit(0), F.least(F.lit(top), F.round((value - low) / side * top))).cast("int")
+
+
+def softmax(scores: Column) -> Column:
+    """Scores as shares that sum to one; the largest is taken off first."""
+    raised = F.transform(scores, lambda x: F.exp(x.cast("double") - F.array_max(scores).cast("double")))
+    whole = F.aggregate(raised, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(raised, lambda x: x / whole)
+
+
+def softmax_kl(p: Column, q: Column) -> Column:
+    """Nats by which the softmax of q misses that of p."""
+    return F.aggregate(F.zip_with(softmax(p), softmax(q), lambda a, b: F.when(a > 0, a * F.ln(a / F.greatest(b, F.lit(1e-300)))).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+
+
+def argmax(scores: Column) -> Column:
+    """The place of the first largest score, from 0; null for null or empty arrays."""
+    return F.when(F.size(scores) > 0, (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))
+
+
+def plural(n: Column, one: str, many: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many))
+
+
+def percent_down(share: Column) -> Column:
+    """A share as whole per cent, rounded down, so that no card tells more than is so."""
+    return F.concat(F.floor(share * 100).cast("string"), F.lit("%"))
