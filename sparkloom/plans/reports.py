@@ -273,3 +273,18 @@ def A41_recall_by_kind(spark, d):
     truth = events.selectExpr("event_id", "CASE WHEN value > 80 THEN 'high' WHEN value < 10 THEN 'low' END AS kind").filter("kind is not null")
     found = events.filter("event_id % 4 <> 0").selectExpr("event_id", "event_type AS kind")
     return _rounded(R.recall_by_kind(truth, found, ["event_id"], "kind", {"high": ["purchase", "view"], "low": ["error"]}), 6, "recall")
+
+
+_BROKEN = "SELECT vec_id, CASE WHEN vec_id % 41 = 0 THEN NULL ELSE 'v' || vec_id % 450 END AS token, CASE WHEN vec_id % 20 = 1 THEN {short} WHEN vec_id % 33 = 2 THEN {zero} ELSE embedding END AS embedding FROM embeddings"
+
+
+@query(f"""WITH r AS ({_BROKEN.format(short='embedding[1:63]', zero='list_transform(embedding, lambda x: 0)')}), s AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY vec_id) AS seen FROM r)
+ SELECT vec_id, CASE WHEN token IS NULL THEN 'missing_token' WHEN len(embedding) <> 64 THEN 'field_count' WHEN len(list_filter(embedding, lambda x: x = 0)) = 64 THEN 'all_zero' WHEN seen > 1 THEN 'repeated_token' END AS reason FROM s""")
+def V23_validate_vectors(spark, d):
+    from pyspark.sql import Window
+
+    from ..operators.validation import first_failure
+
+    rows = _t(spark, d, "embeddings").selectExpr("vec_id", "CASE WHEN vec_id % 41 = 0 THEN NULL ELSE 'v' || vec_id % 450 END AS token", "CASE WHEN vec_id % 20 = 1 THEN slice(embedding, 1, 63) WHEN vec_id % 33 = 2 THEN transform(embedding, x -> float(0)) ELSE embedding END AS embedding")
+    seen = rows.withColumn("_seen", F.row_number().over(Window.partitionBy("token").orderBy("vec_id")))
+    return seen.select("vec_id", first_failure(rulesets.vectors("embedding", 64)).alias("reason"))

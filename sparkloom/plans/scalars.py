@@ -56,3 +56,9 @@ def F18_softmax_kl(spark, d):
 def F20_render_card(spark, d):
     n = F.count_if(F.col("event_type") == "purchase")
     return _t(spark, d, "events").groupBy("user_id").agg(F.concat(X.plural(n, "purchase", "purchases"), F.lit(", "), X.percent_down(n / F.count(F.lit(1)))).alias("card"))
+
+
+@query("SELECT event_id, CAST(floor((event_id * 7919 % 36000 / 100.0::DOUBLE - 180) / 0.5) AS BIGINT) AS col, CAST(floor((event_id * 104729 % 18000 / 100.0::DOUBLE - 90) / 0.5) AS BIGINT) AS row FROM events")
+def F02_cell_of(spark, d):
+    col, row = X.cell_of(F.expr("event_id * 104729 % 18000 / 100.0D - 90"), F.expr("event_id * 7919 % 36000 / 100.0D - 180"), 0.5)
+    return _t(spark, d, "events").select("event_id", col.alias("col"), row.alias("row"))
