@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, jaccard_join, langid, packing, quality_classifier, quality_rules, token_counts, toxicity
+from . import bpe, exact_dedup, html_extract, jaccard_join, langid, mixing, packing, quality_classifier, quality_rules, token_counts, toxicity
 from .shared import table
 
 
@@ -76,6 +76,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.amounts(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -87,9 +91,11 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op13_mixing": op13_mixing,
 }
 
 ORACLE: dict[str, str] = {
+    "op13_mixing": mixing.SQL,
     "op4_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
         g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
