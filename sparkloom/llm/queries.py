@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, jaccard_join, langid, mixing, packing, quality_classifier, quality_rules, token_counts, toxicity, vector_codes
+from . import bpe, exact_dedup, html_extract, jaccard_join, langid, mixing, packing, quality_classifier, quality_rules, spelling, token_counts, toxicity, vector_codes
 from .shared import table
 
 
@@ -81,6 +81,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.amounts(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -97,11 +101,13 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
     "op11_vector_codes": op11_vector_codes,
+    "op12_spelling": op12_spelling,
     "op13_mixing": op13_mixing,
 }
 
 ORACLE: dict[str, str] = {
     "op11_vector_codes": vector_codes.SQL,
+    "op12_spelling": spelling.SQL,
     "op13_mixing": mixing.SQL,
     "op4_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
