@@ -35,9 +35,9 @@ ORDER, MORE = "etaoinsrhldcumfpgwybvkxjqz", 6
 GROUPS = [*ORDER, *("".join(chr(c) for c in range(0xC0, 0x100) if c % MORE == k) for k in range(MORE))]
 LEVELS = len(GROUPS)
 #: Levels that cut the trie at a time, and rows of one block.
-CUT, BLOCK_ROWS = 4, 20_000
-#: Members below which a node of a block's trie isn't cut further, and candidate pairs verified at a time.
-LEAF, PAIRS = 16, 1 << 17
+CUT, BLOCK_ROWS = 4, 1 << 17
+#: Members below which a node of a block's trie isn't cut further; candidate pairs, and their letters, verified at a time.
+LEAF, PAIRS, BYTES = 16, 1 << 17, 1 << 22
 
 _LEVEL = np.full(256, -1)
 for _k, _g in enumerate(GROUPS):
@@ -62,19 +62,24 @@ def _count(level: int) -> Column:
 def _deeper(rows: DataFrame, level: int) -> DataFrame:
     """Rows one level down the trie: members (state -1) by their count, searches by each count that their budget allows.
     States of a search: nothing spent, the deficit spent, both spent."""
-    have = _count(level)
+    have = F.col(f"have_{level}")
     way = lambda state, count: F.struct(state.alias("state"), count.alias("count"))
     state = F.col("state")
     ways = F.array_compact(F.array(way(state, have), F.when((state == 0) & (have > 0), way(F.lit(1), have - 1)), F.when(state == 1, way(F.lit(2), have + 1))))
     out = rows.withColumn("way", F.explode(ways))
-    return out.select("word", "n", F.col("way.state").alias("state"), F.concat_ws(".", "block", F.col("way.count").cast("string")).alias("block"))
+    kept = [c for c in rows.columns if c not in ("state", "block", f"have_{level}")]
+    return out.select(*kept, F.col("way.state").alias("state"), F.concat_ws(".", "block", F.col("way.count").cast("string")).alias("block"))
 
 
 def blocks(words: DataFrame) -> DataFrame:
     """(block, level, word, n, state): the trie's subtrees with their members and searches, none over BLOCK_ROWS."""
-    rows = words.select("word", "n", F.explode(F.array(F.lit(-1), F.lit(0))).alias("state"), F.lit("").alias("block"))
-    done = []
+    rows, done = None, []
     for level in range(0, LEVELS, CUT):
+        counts = {f"have_{k}": _count(k) for k in range(level, level + CUT)}
+        if rows is None:
+            rows = words.select("word", "n").withColumns(counts).withColumn("block", F.lit("")).withColumn("state", F.explode(F.array(F.lit(-1), F.lit(0))))
+        else:
+            rows = rows.select("word", "n", "state", "block").withColumns(counts)
         for k in range(level, level + CUT):
             rows = _deeper(rows, k)
         rows = stored(rows)
@@ -142,19 +147,27 @@ def reached(members: np.ndarray, searches: np.ndarray, states: np.ndarray, level
                     yield some[q], m + a
 
 
-def near(one: list[bytes], two: list[bytes]) -> np.ndarray:
-    """Of pairs of words, which are exactly one code point apart."""
-    size = np.array([[len(a), len(b)] for a, b in zip(one, two, strict=True)]).reshape(-1, 2)
-    out = np.zeros(len(one), bool)
-    for n, m in np.unique(size, axis=0):
-        at = np.flatnonzero((size == (n, m)).all(axis=1))
-        a, b = (np.frombuffer(b"".join(w[i] for i in at), np.uint8).reshape(len(at), -1) for w in (one, two))
-        if n == m:
-            out[at] = (a != b).sum(axis=1) == 1
-        elif abs(n - m) == 1:
+def near(words: list[bytes], pairs: np.ndarray) -> np.ndarray:
+    """Of pairs of words, given by number, which are exactly one code point apart."""
+    size = np.array([len(w) for w in words])
+    letters, start = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+    sizes = size[pairs]
+    both = sizes[:, 0] << 32 | sizes[:, 1]
+    out = np.zeros(len(pairs), bool)
+    for code in np.unique(both):
+        n, m = int(code >> 32), int(code & 0xFFFFFFFF)
+        if abs(n - m) > 1:
+            continue
+        whole = np.flatnonzero(both == code)
+        for at in np.array_split(whole, len(whole) * n // BYTES + 1):
+            a, b = (letters[start[pairs[at, side], None] + np.arange(k)] for side, k in ((0, n), (1, m)))
+            if n == m:
+                out[at] = (a != b).sum(axis=1) == 1
+                continue
             a, b = (a, b) if n > m else (b, a)
-            front = np.cumprod(np.c_[np.ones(len(at), bool), a[:, :-1] == b], axis=1)
-            back = np.cumprod(np.c_[np.ones(len(at), bool), (a[:, 1:] == b)[:, ::-1]], axis=1)[:, ::-1]
+            # some place of the longer word left out gives the shorter one
+            front = np.cumprod(np.c_[np.ones(len(at), np.int8), a[:, :-1] == b], axis=1)
+            back = np.cumprod(np.c_[np.ones(len(at), np.int8), (a[:, 1:] == b)[:, ::-1]], axis=1)[:, ::-1]
             out[at] = (front * back).any(axis=1)
     return out
 
@@ -168,13 +181,16 @@ def _pairs(table: pa.Table) -> pa.Table:
     found: list[np.ndarray] = []
     held: list[np.ndarray] = []
 
+    same = np.unique(counts, axis=0, return_inverse=True)[1].ravel()
+    place = np.empty(len(words), np.int64)
+    place[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+
     def verify() -> None:
-        pairs = np.concatenate(held)
+        asked = np.concatenate(held)
         held.clear()
-        a, b = ([words[i] for i in side] for side in pairs.T)
         # words of equal counts reach each other: one way is enough
-        way = np.array([(counts[i] != counts[j]).any() or words[i] > words[j] for i, j in pairs], bool)
-        found.append(pairs[way & near(a, b)])
+        asked = asked[(same[asked[:, 0]] != same[asked[:, 1]]) | (place[asked[:, 0]] > place[asked[:, 1]])]
+        found.append(asked[near(words, asked)])
 
     size = 0
     for q, m in reached(counts[own], counts[ask], state[ask], level):
