@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reservations
+from ..operators import fragments, reservations
 from .tables import _t, query
 
 _COMMANDS = """SELECT 'e' || event_id % 97 AS sale, event_id AS seq, ts AS at, CASE event_type WHEN 'purchase' THEN 'confirm' WHEN 'error' THEN 'release' WHEN 'signup' THEN 'adjust' ELSE 'reserve' END AS kind,
@@ -46,3 +46,30 @@ def _sales(spark, d):
 def X13_replay_attempts(spark, d):
     """Reservations of made-up sales: 97 sales, 13 users, two sections that exist and one that doesn't."""
     return reservations.replay(*_sales(spark, d), _TTL)
+
+
+_PARTS = """SELECT 'st' || user_id % 40 AS station, 1 + user_id % 3 AS total, CASE WHEN event_id % 29 = 0 THEN 1 + event_id % 5 WHEN event_id % 23 = 0 THEN 9 ELSE 1 + rank % (1 + user_id % 3) END AS num, ts, event_id AS tie, props AS payload
+ FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 120 ORDER BY ts, event_id) - 1 AS rank FROM events)"""
+_WAIT = 150_000.0
+
+_JOINED = f"""WITH p AS (SELECT *, epoch_us(ts) / 1e6 AS tm FROM ({_PARTS})), u AS (SELECT max(tm) - 86400 AS until FROM p), g AS (SELECT * FROM p WHERE num BETWEEN 1 AND total),
+ a AS (SELECT *, sum(CASE WHEN num = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY station, total ORDER BY tm, tie ROWS UNBOUNDED PRECEDING) AS run FROM g),
+ b AS (SELECT *, row_number() OVER w AS place, first_value(tm) OVER w AS began, max(run) OVER (PARTITION BY station, total) AS newest FROM a WINDOW w AS (PARTITION BY station, total, run ORDER BY tm, tie)),
+ f AS (SELECT *, coalesce(run > 0 AND num = place AND tm - began <= {_WAIT}, false) AS ok, tm - began > {_WAIT} AS late FROM b),
+ h AS (SELECT *, min(CASE WHEN NOT ok THEN place END) OVER (PARTITION BY station, total, run) AS bad FROM f),
+ i AS (SELECT *, coalesce(place < bad, true) OR (run > 0 AND place = bad AND NOT late AND bad <= total) AS mine, run > 0 AND coalesce(place = bad, false) AND NOT late AND bad <= total AS misfit, coalesce(place = bad, false) AND late AS cut FROM h),
+ j AS (SELECT station, total, run, arg_min(tie, (tm, tie)) FILTER (mine) AS first_tie, min(tm) AS began, count(*) FILTER (mine) AS n_parts, string_agg(payload, '' ORDER BY place) FILTER (mine) AS payload, bool_or(misfit) AS misfit, bool_or(cut) AS cut, any_value(newest) AS newest FROM i WHERE run > 0 GROUP BY ALL)
+ SELECT station, first_tie, outcome, n_parts, payload FROM (SELECT *, CASE WHEN misfit THEN 'fragment_out_of_order' WHEN n_parts = total THEN 'complete' WHEN run < newest OR cut OR began + {_WAIT} < until THEN 'incomplete' END AS outcome FROM j, u) WHERE outcome IS NOT NULL
+ UNION ALL SELECT station, tie, 'orphan_fragment', 1, payload FROM i WHERE NOT (mine AND run > 0) UNION ALL SELECT station, tie, 'fragment_out_of_range', 1, payload FROM p WHERE NOT (num BETWEEN 1 AND total)"""
+
+
+def _parts(spark, d):
+    return spark.sql(_PARTS.replace("FROM events", "FROM {events}"), events=_t(spark, d, "events"))
+
+
+@query(_JOINED)
+def X06_fragment_join(spark, d):
+    """Parts of messages of 40 stations, some numbers wrong; a message waits for 150,000 seconds."""
+    parts = _parts(spark, d)
+    until = parts.agg(F.max(fragments.seconds("ts"))).first()[0] - 86_400
+    return fragments.join_fragments(parts, ["station"], "total", "num", "ts", "tie", "payload", _WAIT, until)
