@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
+KNOT_MS = 1852 / 3600
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -15,6 +16,29 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
+def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Degrees clockwise from north in which a great circle leaves the first point for the second."""
+    p1, p2, over = F.radians(lat1), F.radians(lat2), F.radians(lon2) - F.radians(lon1)
+    return F.pmod(F.degrees(F.atan2(F.sin(over) * F.cos(p2), F.cos(p1) * F.sin(p2) - F.sin(p1) * F.cos(p2) * F.cos(over))), F.lit(360.0))
+
+
+def destination(lat: Column, lon: Column, bearing: Column, metres: Column) -> tuple[Column, Column]:
+    """The point so many metres away along a bearing; its longitude lies in [-180, 180)."""
+    p1, way, far = F.radians(lat), F.radians(bearing), metres / EARTH_M
+    up = F.sin(p1) * F.cos(far) + F.cos(p1) * F.sin(far) * F.cos(way)
+    p2 = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), up)))
+    l2 = F.radians(lon) + F.atan2(F.sin(way) * F.sin(far) * F.cos(p1), F.cos(far) - F.sin(p1) * F.sin(p2))
+    return F.degrees(p2), F.pmod(F.degrees(l2) + 180, F.lit(360.0)) - 180
+
+
+def dead_reckon(lat: Column, lon: Column, knots: Column, course: Column, seconds: Column) -> tuple[Column, Column]:
+    """Where a thing that holds its course and speed is in so many seconds (below zero: was); without speed or course it
+    stays."""
+    moves = (F.coalesce(knots, F.lit(0.0)) != 0) & course.isNotNull()
+    there = destination(lat, lon, F.when(seconds >= 0, course).otherwise((course + 180) % 360), knots * KNOT_MS * F.abs(seconds))
+    return F.when(moves, there[0]).otherwise(lat), F.when(moves, there[1]).otherwise(lon)
+
+
 def cell_of(lat: Column, lon: Column, degrees: float) -> tuple[Column, Column]:
     return F.floor(lon / degrees), F.floor(lat / degrees)
 

@@ -1,5 +1,5 @@
-"""Silences of moving things: coverage, gaps, neighbours, and holds that run out. Nulls in a position or time are no
-report; repeated reports count once where distinct things are counted; an empty table gives no rows."""
+"""Sessions between silences, holds that run out, and how well found intervals overlap true ones. An empty table gives no
+rows. The silences of moving things are in `tracks`."""
 
 from __future__ import annotations
 
@@ -7,63 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
-EARTH_M = 6_371_000.0
-
-
-def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2))))
-
-
-def reception_grid(reports: DataFrame, lat: str, lon: str, ts: str, degrees: float) -> DataFrame:
-    """(cell_lat, cell_lon, hours, share): in how many different hours each cell was heard, of all hours with a report."""
-    hour = F.date_trunc("hour", c(ts))
-    cell = [F.floor(c(x) / degrees).cast("long").alias(n) for x, n in ((lat, "cell_lat"), (lon, "cell_lon"))]
-    heard = reports.filter(c(lat).isNotNull() & c(lon).isNotNull()).groupBy(*cell).agg(F.count_distinct(hour).alias("hours"))
-    every = reports.agg(F.count_distinct(hour)).first()[0]
-    return heard.withColumn("share", F.round(F.try_divide(c("hours"), F.lit(every)), 6))
-
-
-def gaps(reports: DataFrame, key: str, ts: str, tie: str, lat: str, lon: str, moored: Column, seconds: int, moored_seconds: int, most_ms: float) -> DataFrame:
-    """Silences longer than a key's threshold (moored things may be silent for longer): length, distance, and whether
-    the distance is impossible at most_ms metres a second."""
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    before = reports.select("*", *(F.lag(x).over(w).alias(f"_{n}") for n, x in (("ts", c(ts)), ("lat", c(lat)), ("lon", c(lon)), ("moored", moored))))
-    length = (F.unix_micros(c(ts).cast("timestamp")) - F.unix_micros(c("_ts").cast("timestamp"))) / 1e6
-    long = before.withColumn("seconds", length).filter(c("seconds") > F.when(c("_moored"), moored_seconds).otherwise(seconds))
-    far = distance_m(c("_lat"), c("_lon"), c(lat), c(lon))
-    return long.select(key, c("_ts").alias("silent_from"), c(ts).alias("silent_to"), "seconds", F.round(far, 3).alias("metres"), (far > c("seconds") * most_ms).alias("impossible"))
-
-
-def open_gaps(reports: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Keys that are silent still: their last report is more than so many seconds before the newest of all."""
-    newest = reports.agg(F.max(ts)).first()[0]
-    last = reports.groupBy(key).agg(F.max(ts).alias("silent_from"))
-    return last.filter(c("silent_from") < F.lit(newest).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(seconds)))
-
-
-def neighbours(points: DataFrame, point: str, reports: DataFrame, thing: str, lat: str, lon: str, ts: str, degrees: float, seconds: int) -> DataFrame:
-    """(point, n): how many other things reported within so many degrees (both ways) and seconds; zero is kept. Reports
-    meet points in cells of space and time, each point in the 27 cells around it."""
-    cell = lambda x, step, o=0: (F.floor(x / step) + o).cast("long")
-    second = lambda t: F.unix_micros(c(t).cast("timestamp")) / 1e6
-    near = F.array(*(F.lit(o) for o in (-1, 0, 1)))
-    here = points.select(point, c(thing).alias("_self"), c(lat).alias("_lat"), c(lon).alias("_lon"), second(ts).alias("_s"))
-    around = here.withColumn("_a", F.explode(near)).withColumn("_b", F.explode(near)).withColumn("_c", F.explode(near))
-    around = around.select("*", cell(c("_lat"), degrees, c("_a")).alias("_x"), cell(c("_lon"), degrees, c("_b")).alias("_y"), cell(c("_s"), seconds, c("_c")).alias("_z"))
-    there = reports.select(c(thing).alias("_other"), c(lat).alias("_lat2"), c(lon).alias("_lon2"), second(ts).alias("_s2")).select("*", cell(c("_lat2"), degrees).alias("_x"), cell(c("_lon2"), degrees).alias("_y"), cell(c("_s2"), seconds).alias("_z"))
-    close = (F.abs(c("_lat") - c("_lat2")) <= degrees) & (F.abs(c("_lon") - c("_lon2")) <= degrees) & (F.abs(c("_s") - c("_s2")) <= seconds) & (c("_self") != c("_other"))
-    met = around.join(there, ["_x", "_y", "_z"]).filter(close).groupBy(point).agg(F.count_distinct("_other").alias("n"))
-    return points.select(point).join(met, point, "left").fillna(0, ["n"])
-
-
-def assess(facts: DataFrame, key: str, seconds: str, metres: str, coverage: str, others: str, impossible: str) -> DataFrame:
-    """Each silence's verdict (position_jump, coverage_gap or dark), a score of at most 100, and its reasons."""
-    verdict = F.when(c(impossible), "position_jump").when(c(coverage) < 0.5, "coverage_gap").otherwise("dark")
-    base = F.when(verdict == "dark", 45).when(verdict == "position_jump", 30).otherwise(5)
-    score = base + F.least(F.lit(10.0), 10 * c(seconds) / 43200) + F.least(F.lit(10), 2 * c(others)) + F.when(c(metres) / c(seconds) >= 2.5, 5).otherwise(0)
-    reasons = F.array_compact(F.array(F.when(c(impossible), "impossible speed"), F.when(c(coverage) < 0.5, "poor coverage"), F.when(c(others) > 0, "others were heard"), F.when(c(seconds) >= 43200, "long silence")))
-    return facts.select(key, verdict.alias("verdict"), F.round(F.least(F.lit(100.0), score), 6).alias("score"), F.array_join(reasons, ", ").alias("reasons"))
 
 
 def sessions(reports: DataFrame, key: str, ts: str, gap: str) -> DataFrame:

@@ -4,59 +4,111 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as X
 from ..operators import silence as S
+from ..operators import tracks as T
+from .reports import _rounded
 from .tables import _t, query
 
-_AT = ["event_id", "user_id", "event_type", "ts", "(user_id * 37 + event_id % 5) % 60 / 1.0 AS lat", "(user_id * 53 + event_id % 7) % 120 / 1.0 AS lon"]
-_E = f"e AS (SELECT {', '.join(_AT)} FROM events)"
-_METRES = "2 * 6371000.0 * asin(sqrt(least(1.0, power(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * power(sin(radians(lon - lon0) / 2), 2))))"
-_GAPS = f"""{_E}, b AS (SELECT *, lag(ts) OVER w AS ts0, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0, lag(event_type) OVER w = 'view' AS moored FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
- g AS (SELECT user_id, ts0 AS silent_from, ts AS silent_to, (epoch_us(ts) - epoch_us(ts0)) / 1e6 AS seconds, {_METRES} AS m FROM b)"""
-_LONG = f"{_GAPS}, l AS (SELECT g.* FROM g JOIN b ON b.user_id = g.user_id AND b.ts = g.silent_to AND b.ts0 = g.silent_from WHERE seconds > CASE WHEN moored THEN 60000 ELSE 40000 END)"
-
-
-def _reports(spark, d):
-    return _t(spark, d, "events").selectExpr(*_AT)
-
-
-def _gaps(spark, d):
-    return S.gaps(_reports(spark, d), "user_id", "ts", "event_id", "lat", "lon", F.col("event_type") == "view", 40000, 60000, 1.0)
-
-
-@query(f"WITH {_LONG} SELECT user_id, silent_from, silent_to, seconds, round(m, 3) AS metres, m > seconds AS impossible FROM l")
+#: Position reports made from events: 11 by 12 tenths of a degree, now and then 8 degrees off.
+_POS = """SELECT user_id AS thing, ts, 55 + user_id * 37 % 11 / 10 + event_id * 13 % 100 / 1000 + CASE WHEN event_id % 53 = 0 THEN 8 ELSE 0 END AS lat, 10 + user_id * 53 % 12 / 10 + event_id * 7 % 100 / 1000 AS lon,
+ CASE event_type WHEN 'view' THEN 0.0 WHEN 'error' THEN NULL WHEN 'click' THEN 8.0 ELSE 0.5 + event_id % 10 END AS knots, CASE WHEN event_id % 31 = 0 THEN NULL ELSE event_id * 29 % 360 END AS course FROM events"""
+_RULES = T.Rules(moving_s=36_000.0, moored_s=86_400.0, max_knots=20.0, cell_deg=0.5, least_reception=0.4, radius_m=25_000.0, lookback_h=240.0, spot_s=3600.0, window_s=7200.0)
+_R = _RULES
+
+
+def _metres(lat1, lon1, lat2, lon2):
+    return f"2 * 6371000.0 * asin(sqrt(least(1.0, power(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * power(sin((radians({lon2}) - radians({lon1})) / 2), 2))))"
+
+
+def _reckoned(lat, lon, knots, course, seconds):
+    """SQL of dead reckoning: (latitude, longitude)."""
+    way, far = f"radians(CASE WHEN {seconds} >= 0 THEN {course} ELSE ({course} + 180) % 360 END)", f"({knots} * {1852 / 3600} * abs({seconds}) / 6371000.0)"
+    p2 = f"asin(greatest(-1.0, least(1.0, sin(radians({lat})) * cos({far}) + cos(radians({lat})) * sin({far}) * cos({way}))))"
+    over = f"degrees(radians({lon}) + atan2(sin({way}) * sin({far}) * cos(radians({lat})), cos({far}) - sin(radians({lat})) * sin({p2}))) + 180"
+    moves = f"coalesce({knots}, 0) <> 0 AND {course} IS NOT NULL"
+    return f"CASE WHEN {moves} THEN degrees({p2}) ELSE {lat} END", f"CASE WHEN {moves} THEN (({over}) % 360 + 360) % 360 - 180 ELSE {lon} END"
+
+
+_AT = f"""e AS (SELECT DISTINCT ON (thing, ts) * FROM ({_POS}) ORDER BY thing, ts, lat, lon, knots NULLS FIRST, course NULLS FIRST), n AS (SELECT max(ts) AS now FROM e), s AS (SELECT now - INTERVAL {int(_R.lookback_h)} HOUR AS since, date_trunc('hour', now) AS hi FROM n)"""
+_GRID = f"""g AS (SELECT CAST(floor(lon / {_R.cell_deg}) AS BIGINT) AS cx, CAST(floor(lat / {_R.cell_deg}) AS BIGINT) AS cy, count(DISTINCT date_trunc('hour', ts)) AS hours_heard, count(DISTINCT thing) AS vessels,
+ (SELECT count(DISTINCT date_trunc('hour', ts)) FROM e, s WHERE ts >= hi - INTERVAL {int(_R.lookback_h)} HOUR AND ts < hi) AS hours_window FROM e, s WHERE ts >= hi - INTERVAL {int(_R.lookback_h)} HOUR AND ts < hi GROUP BY 1, 2),
+ grid AS (SELECT *, hours_heard / hours_window AS reliability FROM g)"""
+_OPEN = f"""o AS (SELECT thing, ts AS silent_from, (epoch_us(now) - epoch_us(ts)) / 1e6 AS seconds, lat AS lat0, lon AS lon0, knots AS knots0, course AS course0 FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY thing ORDER BY ts DESC) = 1), n, s
+ WHERE ts >= since AND ts <= now - INTERVAL {int(_R.moving_s)} SECOND AND knots >= {_R.moored_knots})"""
+_SILENT = f"""l AS (SELECT thing, {', '.join(f'{x} AS {x}1, lag({x}) OVER w AS {x}0' for x in ('ts', 'lat', 'lon', 'knots', 'course'))} FROM e, s WHERE ts >= since WINDOW w AS (PARTITION BY thing ORDER BY ts)),
+ m AS (SELECT *, epoch_us(ts1) / 1e6 - epoch_us(ts0) / 1e6 AS seconds, {_metres('lat0', 'lon0', 'lat1', 'lon1')} AS metres FROM l WHERE ts0 IS NOT NULL), {_OPEN},
+ q AS (SELECT thing, ts0 AS silent_from, ts1 AS silent_to, seconds, metres, lat0, lon0, knots0, course0, lat1, lon1, knots1, course1 FROM m WHERE seconds >= CASE WHEN coalesce(knots0, 0) >= {_R.moored_knots} OR metres > {_R.moored_m} THEN {_R.moving_s} ELSE {_R.moored_s} END
+  OR (metres >= {_R.jump_m} AND metres / seconds > {_R.max_knots * 1852 / 3600}) UNION ALL BY NAME SELECT thing, silent_from, seconds, lat0, lon0, knots0, course0 FROM o)"""
+_SPOT = _reckoned("lat0", "lon0", "knots0", "course0", f"least({_R.spot_s}, seconds / 2)")
+_NEAR = f"""spot AS (SELECT thing, silent_from, {_SPOT[0]} AS lat, {_SPOT[1]} AS lon, epoch_us(silent_from) / 1e6 AS t0, epoch_us(silent_from) / 1e6 + least({_R.window_s}, seconds) AS t1 FROM q),
+ near AS (SELECT a.thing, a.silent_from, count(DISTINCT b.thing) AS n_near FROM spot a LEFT JOIN (SELECT *, epoch_us(ts) / 1e6 AS tm FROM e) b ON b.tm > a.t0 AND b.tm <= a.t1 AND b.thing <> a.thing AND {_metres('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= {_R.radius_m} GROUP BY 1, 2)"""
+_TRACK = " UNION ALL ".join(f"SELECT thing, silent_from, {side} AS side, CAST(floor(({p[1]}) / {_R.cell_deg}) AS BIGINT) AS cx, CAST(floor(({p[0]}) / {_R.cell_deg}) AS BIGINT) AS cy FROM q" for side, sign in ((0, 1), (1, -1)) for s in T.TRACK_S for p in [_reckoned(f"lat{side}", f"lon{side}", f"knots{side}", f"course{side}", f"({sign * s})")])
+_HEARD = f"""track AS ({_TRACK}), heard AS (SELECT thing, silent_from, min(coalesce(reliability, 0)) FILTER (side = 0) AS reception_from, min(coalesce(reliability, 0)) FILTER (side = 1) AS reception_to FROM track LEFT JOIN grid USING (cx, cy) WHERE cx IS NOT NULL GROUP BY 1, 2)"""
+_JUDGED = f"""f AS (SELECT *, metres / seconds / {1852 / 3600} AS knots, coalesce(metres / seconds / {1852 / 3600} > {_R.max_knots} AND metres >= {_R.jump_m}, false) AS impossible,
+  CASE WHEN seconds < CASE WHEN coalesce(knots0, 0) >= {_R.moored_knots} OR coalesce(metres, 0) > {_R.moored_m} THEN {_R.moving_s} ELSE {_R.moored_s} END THEN 'position_jump'
+   WHEN reception_from >= {_R.least_reception} AND (reception_to IS NULL OR reception_to >= {_R.least_reception}) AND n_near >= 1 THEN 'dark' ELSE 'coverage_gap' END AS verdict, CAST(floor(seconds / 60 + 0.5) AS BIGINT) AS mins FROM q JOIN near USING (thing, silent_from) JOIN heard USING (thing, silent_from)),
+ j AS (SELECT *, round(least(100.0, CASE verdict WHEN 'dark' THEN 45.0 + least(10.0, 10.0 * seconds / 43200) + least(10.0, 2.0 * n_near) + CASE WHEN coalesce(knots0, 0) >= 5 THEN 5.0 ELSE 0.0 END WHEN 'coverage_gap' THEN 5.0 ELSE 30.0 END
+   + CASE WHEN impossible THEN 30.0 + least(10.0, 5.0 * log10(knots / {_R.max_knots})) ELSE 0.0 END), 1) AS score,
+  array_to_string(list_filter(['silent for ' || CASE WHEN mins >= 60 THEN mins // 60 || ' h ' || lpad(CAST(mins % 60 AS VARCHAR), 2, '0') || ' min' ELSE mins || ' min' END || CASE WHEN silent_to IS NULL THEN ', not heard again yet' ELSE '' END,
+   CASE WHEN verdict = 'dark' THEN 'reception ' || round(reception_from, 2) || ' where it vanished' || coalesce(', ' || round(reception_to, 2) || ' where it returned', '') END,
+   CASE WHEN verdict = 'dark' THEN n_near || CASE WHEN n_near = 1 THEN ' other was heard nearby' ELSE ' others were heard nearby' END END, CASE WHEN verdict = 'dark' AND coalesce(knots0, 0) >= 5 THEN 'under way at ' || round(CAST(knots0 AS DOUBLE), 1) || ' kn when it vanished' END,
+   CASE WHEN verdict = 'coverage_gap' AND reception_from < {_R.least_reception} THEN 'was leaving reliable coverage, reception ' || round(reception_from, 2) END, CASE WHEN verdict = 'coverage_gap' AND reception_to < {_R.least_reception} THEN 'returned from outside reliable coverage, reception ' || round(reception_to, 2) END,
+   CASE WHEN verdict = 'coverage_gap' AND n_near = 0 THEN 'nobody else was heard nearby: the receiver may have been down' END,
+   CASE WHEN impossible THEN 'reappeared ' || CAST(floor(metres / 1852 + 0.5) AS BIGINT) || ' nm away: needs ' || CAST(floor(knots + 0.5) AS BIGINT) || ' kn' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM f)"""
+_SAID = "thing, silent_from, silent_to, round(seconds, 3) AS seconds, round(metres, 3) AS metres, round(knots, 3) AS knots, round(reception_from, 6) AS reception_from, round(reception_to, 6) AS reception_to, n_near, verdict, impossible, score, reasons"
+
+
+def _positions(spark, d):
+    return T.positions(spark.sql(_POS.replace("FROM events", "FROM {events}"), events=_t(spark, d, "events")), "thing", "ts", "lat", "lon", "knots", "course")
+
+
+@query(f"WITH {_AT}, {_SILENT} SELECT thing, silent_from, silent_to, round(seconds, 3) AS seconds, round(metres, 3) AS metres FROM q")
 def W03_silences(spark, d):
-    return _gaps(spark, d)
+    at = _positions(spark, d)
+    return _rounded(T.silences(at, T.newest(at), _R).select(*T.KEYS, "silent_to", "seconds", "metres"), 3, "seconds", "metres")
 
 
-@query("SELECT user_id, max(ts) AS silent_from FROM events GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 20000 SECOND")
+@query(f"WITH {_AT}, {_OPEN} SELECT thing, silent_from, round(seconds, 3) AS seconds FROM o")
 def W04_open_gaps(spark, d):
-    return S.open_gaps(_t(spark, d, "events"), "user_id", "ts", 20000)
-
+    at = _positions(spark, d)
+    return _rounded(T.open_silences(at, T.newest(at), _R).select(*T.KEYS, "seconds"), 3, "seconds")
 
-_GRID = "g2 AS (SELECT CAST(floor(lat / 5) AS BIGINT) AS cell_lat, CAST(floor(lon / 5) AS BIGINT) AS cell_lon, count(DISTINCT date_trunc('hour', ts)) AS hours, round(count(DISTINCT date_trunc('hour', ts)) / (SELECT count(DISTINCT date_trunc('hour', ts)) FROM e), 6) AS share FROM e GROUP BY 1, 2)"
 
-
-@query(f"WITH {_E}, {_GRID} SELECT * FROM g2")
+@query(f"WITH {_AT}, {_GRID} SELECT * FROM grid")
 def A05_reception_grid(spark, d):
-    return S.reception_grid(_reports(spark, d), "lat", "lon", "ts", 5.0)
+    at = _positions(spark, d)
+    return T.reception_grid(at, T.newest(at), _R)
 
 
-@query(f"""WITH {_E} SELECT a.event_id, count(DISTINCT b.user_id) AS n FROM (SELECT * FROM e WHERE event_type = 'error') a LEFT JOIN e b ON b.user_id <> a.user_id AND abs(a.lat - b.lat) <= 5 AND abs(a.lon - b.lon) <= 5
- AND abs(epoch_us(a.ts) / 1e6 - epoch_us(b.ts) / 1e6) <= 3600 GROUP BY 1""")
+@query(f"WITH {_AT}, {_SILENT}, {_NEAR} SELECT thing, silent_from, n_near FROM near")
 def J06_neighbours(spark, d):
-    reports = _reports(spark, d)
-    return S.neighbours(reports.filter("event_type = 'error'"), "event_id", reports, "user_id", "lat", "lon", "ts", 5.0, 3600)
+    at = _positions(spark, d)
+    return T.neighbours(T.silences(at, T.newest(at), _R), at, _R)
+
 
+@query(f"WITH {_AT}, {_GRID}, {_SILENT}, {_NEAR}, {_HEARD}, {_JUDGED} SELECT {_SAID} FROM j")
+def W05_assess(spark, d):
+    """The whole chain: silences, who was near, reception along the track, verdict, score and reasons."""
+    at = _positions(spark, d)
+    now = T.newest(at)
+    return said(T.assess(at, T.reception_grid(at, now, _R), now, _R))
 
-_FACTS = "SELECT event_id, 1000.0 * (event_id % 60) + 1 AS seconds, 500.0 * (event_id % 90) AS metres, (event_id % 10) / 10.0 AS coverage, event_id % 4 AS others, event_id % 13 = 0 AS impossible FROM events"
 
+def said(judged):
+    return _rounded(_rounded(judged, 3, "seconds", "metres", "knots"), 6, "reception_from", "reception_to")
 
-@query(f"""WITH f AS ({_FACTS}), v AS (SELECT *, CASE WHEN impossible THEN 'position_jump' WHEN coverage < 0.5 THEN 'coverage_gap' ELSE 'dark' END AS verdict FROM f)
- SELECT event_id, verdict, round(least(100.0, CASE verdict WHEN 'dark' THEN 45 WHEN 'position_jump' THEN 30 ELSE 5 END + least(10.0, 10 * seconds / 43200) + least(10, 2 * others) + CASE WHEN metres / seconds >= 2.5 THEN 5 ELSE 0 END), 6) AS score,
- array_to_string(list_filter([CASE WHEN impossible THEN 'impossible speed' END, CASE WHEN coverage < 0.5 THEN 'poor coverage' END, CASE WHEN others > 0 THEN 'others were heard' END, CASE WHEN seconds >= 43200 THEN 'long silence' END], lambda x: x IS NOT NULL), ', ') AS reasons FROM v""")
-def W05_assess(spark, d):
-    facts = _t(spark, d, "events").selectExpr("event_id", "CAST(1000.0 * (event_id % 60) + 1 AS DOUBLE) AS seconds", "CAST(500.0 * (event_id % 90) AS DOUBLE) AS metres", "(event_id % 10) / 10 AS coverage", "event_id % 4 AS others", "event_id % 13 = 0 AS impossible")
-    return S.assess(facts, "event_id", "seconds", "metres", "coverage", "others", "impossible")
+
+_POINT = "SELECT event_id, value % 80 AS lat1, user_id % 170 - 85 AS lon1, user_id % 60 AS lat2, event_id % 360 - 180 AS lon2, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 30 END AS knots, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id * 7 % 360 END AS course, event_id % 7201 - 3600 AS s FROM events"
+_WAY = _reckoned("lat1", "lon1", "knots", "course", "s")
+
+
+@query(f"WITH p AS ({_POINT}) SELECT event_id, round((degrees(atan2(sin(radians(lon2) - radians(lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2) - radians(lon1)))) + 360) % 360, 4) AS bearing, round({_WAY[0]}, 6) AS lat, round({_WAY[1]}, 6) AS lon FROM p")
+def F01_bearing_and_dead_reckoning(spark, d):
+    p = spark.sql(_POINT.replace("FROM events", "FROM {events}"), events=_t(spark, d, "events"))
+    x = {n: F.col(n).cast("double") for n in ("lat1", "lon1", "lat2", "lon2", "knots", "course", "s")}
+    lat, lon = X.dead_reckon(x["lat1"], x["lon1"], x["knots"], x["course"], x["s"])
+    return p.select("event_id", F.round(X.bearing_deg(x["lat1"], x["lon1"], x["lat2"], x["lon2"]), 4).alias("bearing"), F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
 
 
 _SESSIONS = "s AS (SELECT *, sum(CASE WHEN ts0 IS NULL OR ts >= ts0 + INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ts0 FROM events))"

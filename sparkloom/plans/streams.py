@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fragments, reservations
+from ..sources.scratch import scratch
+from ..streaming import detection
+from . import silence
 from .tables import _t, query
 
 _COMMANDS = """SELECT 'e' || event_id % 97 AS sale, event_id AS seq, ts AS at, CASE event_type WHEN 'purchase' THEN 'confirm' WHEN 'error' THEN 'release' WHEN 'signup' THEN 'adjust' ELSE 'reserve' END AS kind,
@@ -73,3 +76,26 @@ def X06_fragment_join(spark, d):
     parts = _parts(spark, d)
     until = parts.agg(F.max(fragments.seconds("ts"))).first()[0] - 86_400
     return fragments.join_fragments(parts, ["station"], "total", "num", "ts", "tie", "payload", _WAIT, until)
+
+
+#: Events arrive in four files, one in 37 a file late; the fourth holds what is left.
+_ARRIVAL = "least(3, CASE WHEN ts < TIMESTAMP '2024-01-09' THEN 0 WHEN ts < TIMESTAMP '2024-01-17' THEN 1 WHEN ts < TIMESTAMP '2024-01-24' THEN 2 ELSE 3 END + CASE WHEN event_id % 37 = 0 THEN 1 ELSE 0 END)"
+_PASSES = " UNION ALL BY NAME ".join(
+    f"SELECT {k} AS pass, * FROM (WITH {silence._AT.replace('FROM events', f'FROM (SELECT * FROM events WHERE {_ARRIVAL} <= {k})')}, {silence._GRID}, {silence._SILENT}, {silence._NEAR}, {silence._HEARD}, {silence._JUDGED} SELECT {silence._SAID}, since FROM j, s)" for k in range(4)
+)
+_SINCE = " UNION ALL ".join(f"SELECT {k} AS pass, max(ts) - INTERVAL {int(silence._RULES.lookback_h)} HOUR AS since FROM events WHERE {_ARRIVAL} <= {k}" for k in range(4))
+
+
+@query(f"""WITH p AS MATERIALIZED ({_PASSES}), w AS ({_SINCE}), k AS (SELECT thing, silent_from, min(pass) AS first_batch, max(pass) AS seen FROM p GROUP BY 1, 2),
+ l AS (SELECT k.*, (SELECT max(pass) FROM w WHERE w.since <= k.silent_from) AS last FROM k)
+ SELECT p.* EXCLUDE (pass, since), first_batch, seen < last AS withdrawn FROM l JOIN p ON p.thing = l.thing AND p.silent_from = l.silent_from AND p.pass = l.seen""")
+def X11_detect_pass(spark, d):
+    """Events as reports in four batches, some of them late: silences found, changed and withdrawn batch by batch."""
+    folder = scratch(spark)
+    reports = spark.sql(silence._POS.replace("FROM events", ", CAST(" + _ARRIVAL + " AS INT) AS arrival FROM {events}"), events=_t(spark, d, "events"))
+    kinds = {x: "double" for x in ("lat", "lon", "knots", "course")}
+    reports = reports.select("thing", "ts", *(F.col(x).cast(k).alias(x) for x, k in kinds.items()), "arrival")
+    for k in range(4):
+        reports.filter(F.col("arrival") == k).drop("arrival").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(reports.drop("arrival").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return silence.said(detection.follow(stream, folder, silence._RULES)).drop("changed_batch", "day")
