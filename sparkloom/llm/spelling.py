@@ -77,7 +77,8 @@ def blocks(words: DataFrame) -> DataFrame:
     for level in range(0, LEVELS, CUT):
         counts = {f"have_{k}": _count(k) for k in range(level, level + CUT)}
         if rows is None:
-            rows = words.select("word", "n").withColumns(counts).withColumn("block", F.lit("")).withColumn("state", F.explode(F.array(F.lit(-1), F.lit(0))))
+            # a small table becomes a large one here: its rows are dealt to all tasks first
+            rows = words.select("word", "n").repartition(4 * partitions(words.sparkSession), "word").withColumns(counts).withColumn("block", F.lit("")).withColumn("state", F.explode(F.array(F.lit(-1), F.lit(0))))
         else:
             rows = rows.select("word", "n", "state", "block").withColumns(counts)
         for k in range(level, level + CUT):
@@ -177,19 +178,17 @@ def _pairs(table: pa.Table) -> pa.Table:
     n, state, level = table["n"].to_numpy(), table["state"].to_numpy(), table["level"][0].as_py()
     own, ask = np.flatnonzero(state < 0), np.flatnonzero(state >= 0)
     counts = vectors(words)
-    own = own[np.lexsort(counts[own].T[::-1])]
+    own = own[np.argsort(np.ascontiguousarray(counts[own].astype(np.uint8)).view(f"S{LEVELS}").ravel(), kind="stable")]
     found: list[np.ndarray] = []
     held: list[np.ndarray] = []
 
-    same = np.unique(counts, axis=0, return_inverse=True)[1].ravel()
-    place = np.empty(len(words), np.int64)
-    place[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
-
     def verify() -> None:
         asked = np.concatenate(held)
         held.clear()
         # words of equal counts reach each other: one way is enough
-        asked = asked[(same[asked[:, 0]] != same[asked[:, 1]]) | (place[asked[:, 0]] > place[asked[:, 1]])]
+        alike = np.flatnonzero((counts[asked[:, 0]] == counts[asked[:, 1]]).all(axis=1))
+        back = [k for k, (i, j) in zip(alike, asked[alike].tolist()) if words[i] <= words[j]]
+        asked = np.delete(asked, back, axis=0)
         found.append(asked[near(words, asked)])
 
     size = 0
