@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fragments, reservations
+from ..operators import fragments, incremental, reservations
+from ..sources import runs
 from ..sources.scratch import scratch
-from ..streaming import detection
+from ..streaming import detection, sink
 from . import silence
 from .tables import _t, query
 
@@ -99,3 +100,67 @@ def X11_detect_pass(spark, d):
         reports.filter(F.col("arrival") == k).drop("arrival").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(reports.drop("arrival").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     return silence.said(detection.follow(stream, folder, silence._RULES)).drop("changed_batch", "day")
+
+
+@query("SELECT 'r2' AS run, 'r3' AS previous, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_orderstatus")
+def S11_publish_run(spark, d):
+    """Three runs of a summary, the second one published twice, then one step back."""
+    root, orders = scratch(spark), _t(spark, d, "orders")
+    for run, rows in (("r1", orders.filter("o_orderkey % 2 = 0")), ("r2", orders.filter("o_orderkey % 3 <> 0")), ("r2", orders.filter("false")), ("r3", orders)):
+        runs.publish_run(rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")), root, run)
+    now = runs.rollback(spark, root)
+    return runs.current(spark, root).select(F.lit(now["run"]).alias("run"), F.lit(now["previous"]).alias("previous"), "o_orderstatus", "n", "total")
+
+
+@query("""SELECT event_id, user_id, ts, CASE WHEN event_id % 59 = 0 THEN 3 WHEN ts < TIMESTAMP '2024-01-20' THEN 1 ELSE 2 END AS batch FROM events""")
+def X09_rebuild_affected_days(spark, d):
+    """Three batches: 20 days, the rest with copies of old events, and late events with more copies; each is followed by
+    a rebuild of the days it touches."""
+    bronze, target, events = scratch(spark), scratch(spark), _t(spark, d, "events").select("event_id", "user_id", "ts")
+    late, early = F.col("event_id") % 59 == 0, F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")
+    copies = events.filter(early & (F.col("event_id") % 41 == 0) & ~late)
+    held = 0
+    for batch, rows in ((1, events.filter(early & ~late)), (2, events.filter(~early & ~late).unionByName(copies)), (3, events.filter(late).unionByName(copies))):
+        incremental.append_batch(rows, bronze, batch, F.to_date("ts"))
+        held = incremental.rebuild_affected_days(spark, bronze, target, ["event_id"], ["ts"], held)
+    return spark.read.parquet(target).select("event_id", "user_id", "ts", "batch")
+
+
+#: Records made from events: three topics, redelivered positions, and poison of many kinds.
+_BODY = """CASE WHEN event_id % 13 = 0 THEN '{"cid": "x", "mm' WHEN event_id % 101 = 0 THEN '[1, 2]' ELSE concat('{"cid": "', event_id, '", "reason": "', CASE WHEN event_id % 2 = 0 THEN 'bad_checksum' ELSE 'late' END, '", "stage": "', CASE WHEN event_id % 7 = 0 THEN 'nowhere' ELSE 'decode' END, '", ',
+ CASE WHEN event_id % 17 = 0 THEN '' ELSE '"source": "feed", ' END, '"received_at": ', CASE WHEN event_id % 97 = 0 THEN '1e300' ELSE '1704067200.5' END, ', "mmsi": ', CASE WHEN event_id % 19 = 0 THEN '"abc"' WHEN event_id % 23 = 0 THEN '111222333' ELSE CAST(200000000 + user_id AS STRING) END, ', "lat": ',
+ CASE WHEN event_id % 29 = 0 THEN '91' WHEN event_id % 31 = 0 THEN '-90.5' WHEN event_id % 37 = 0 THEN 'null' ELSE CAST(user_id % 80 AS STRING) END, ', "lon": ', CASE WHEN event_id % 41 = 0 THEN '"12"' ELSE '10.25' END, CASE WHEN event_id % 43 = 0 THEN ', "sog": "fast"' WHEN event_id % 47 = 0 THEN ', "heading": 12.5' ELSE ', "sog": 7.5, "heading": null' END,
+ CASE WHEN event_id % 53 = 0 THEN '' ELSE concat(', "ts": ', 1704067200 + user_id * 1000 + event_id % 10 * 60) END, ', "msg_type": ', CASE WHEN event_id % 59 = 0 THEN '5' ELSE '1' END, '}') END"""
+_TOPIC = "CASE event_type WHEN 'signup' THEN 'static' WHEN 'error' THEN 'dead' ELSE CASE WHEN event_id % 67 = 0 THEN 'other' ELSE 'position' END END"
+_RECORD = [f"{_TOPIC} AS topic", f"{_BODY} AS body", "CAST(event_id AS STRING) AS cid", "event_id % 3 AS part"]
+
+
+def _n(field):
+    """SQL: the field of j is a number."""
+    return f"coalesce(json_type(j, '$.{field}'), '') IN ('BIGINT', 'UBIGINT', 'DOUBLE')"
+
+
+_LANDED = f"""WITH r AS (SELECT {', '.join(_RECORD).replace('STRING', 'VARCHAR')} FROM events), v AS (SELECT *, json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body END) = 'OBJECT' AS ok, CASE WHEN json_valid(body) THEN body ELSE '{{}}' END AS j FROM r),
+ f AS (SELECT *, CASE WHEN NOT ok THEN 'unparseable_record' WHEN NOT (coalesce(json_type(j, '$.source'), '') = 'VARCHAR' AND {_n('received_at')}) THEN 'missing_envelope'
+  WHEN NOT (coalesce(json_type(j, '$.mmsi'), '') IN ('BIGINT', 'UBIGINT') AND coalesce(TRY_CAST(json_extract_string(j, '$.mmsi') AS DOUBLE) BETWEEN 200000000 AND 799999999, false)) THEN 'non_vessel_mmsi' END AS base, CASE WHEN {_n('lat')} THEN TRY_CAST(json_extract_string(j, '$.lat') AS DOUBLE) END AS lat, CASE WHEN {_n('lon')} THEN TRY_CAST(json_extract_string(j, '$.lon') AS DOUBLE) END AS lon FROM v),
+ k AS (SELECT *, CASE topic WHEN 'dead' THEN CASE WHEN NOT ok OR json_extract_string(j, '$.stage') NOT IN ('decode', 'validate', 'sink') THEN 'malformed_dead_letter' ELSE json_extract_string(j, '$.reason') END WHEN 'static' THEN coalesce(base, CASE WHEN TRY_CAST(json_extract_string(j, '$.received_at') AS DOUBLE) > 253402300799 THEN 'sink_refuses_received_at' END) WHEN 'position' THEN
+   CASE WHEN base IS NOT NULL THEN base WHEN lat IS NULL OR lon IS NULL THEN 'missing_position' WHEN lat = 91 OR lon = 181 THEN 'position_unavailable' WHEN NOT (abs(lat) <= 90 AND abs(lon) <= 180) THEN 'position_out_of_range' WHEN abs(lat) < 0.001 AND abs(lon) < 0.001 THEN 'null_island'
+    WHEN json_type(j, '$.sog') = 'VARCHAR' THEN 'sog_out_of_range' WHEN json_type(j, '$.heading') = 'DOUBLE' THEN 'heading_out_of_range' WHEN NOT {_n('ts')} THEN 'missing_timestamp' WHEN TRY_CAST(json_extract_string(j, '$.ts') AS DOUBLE) > 1706000120 THEN 'timestamp_in_future' WHEN json_extract_string(j, '$.msg_type') = '5' THEN 'bad_msg_type'
+    WHEN TRY_CAST(json_extract_string(j, '$.received_at') AS DOUBLE) > 253402300799 THEN 'sink_refuses_received_at' END ELSE 'unknown_topic' END AS reason FROM f),
+ s AS (SELECT *, CASE WHEN reason IS NOT NULL OR topic = 'dead' THEN 'dead' WHEN topic = 'static' THEN 'static' ELSE 'position' END AS sink FROM k)
+ SELECT cid, sink, reason FROM s WHERE sink <> 'position' UNION ALL SELECT arg_min(cid, (part, cid)), 'position', NULL FROM s WHERE sink = 'position' GROUP BY json_extract_string(j, '$.mmsi'), json_extract_string(j, '$.ts')"""
+
+
+@query(_LANDED)
+def X04_poison_isolation(spark, d):
+    """Records in three batches, one of them delivered again: each lands in one of three tables with its reason."""
+    folder, events = scratch(spark), _t(spark, d, "events")
+    records = events.selectExpr(*_RECORD)
+    for part in (0, 1, 2):
+        records.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(records.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    landed = sink.land(stream, folder, F.lit(1_706_000_000.0))
+    landed.absorb(records.filter("part = 1").drop("part"), 1)
+    none = F.lit(None).cast("string").alias("reason")
+    good = [landed.table(t).select("cid", F.lit(s).alias("sink"), none) for t, s in (("positions", "position"), ("statics", "static"))]
+    return good[0].unionByName(good[1]).unionByName(landed.table("dead").select("cid", F.lit("dead").alias("sink"), "reason"))

@@ -37,10 +37,8 @@ class Joiner(StatefulProcessor):
         return int((at + self.timeout) * 1000) + 1
 
     def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=OUT).astype({"first_tie": "int64", "n_parts": "int64"})
-        for k, (name, value) in enumerate(zip(self.names, key)):
-            out.insert(k, name, [value] * len(out))
-        return out
+        columns = {n: [v] * len(rows) for n, v in zip(self.names, key)} | {n: [r[k] for r in rows] for k, n in enumerate(OUT)}
+        return pd.DataFrame({n: pd.Series(v, dtype="int64" if n in ("first_tie", "n_parts") else object) for n, v in columns.items()})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         total, out = key[-1], []

@@ -74,13 +74,18 @@ class Replay(StatefulProcessor):
             said.append(verdict)
             left.append(available)
         self._next(sale.forget(timerValues.getCurrentWatermarkInMs() / 1000))
-        yield pd.DataFrame({"sale": key[0], "seq": batch["seq"].astype("int64").to_numpy(), "verdict": said, "available": pd.array(left, dtype="Int64")})
+        yield self._frame(key[0], batch["seq"].astype("int64").tolist(), said, left)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = self._sale().forget(timerValues.getCurrentWatermarkInMs() / 1000)
         if due is not None:
             self.handle.registerTimer(int(due * 1000) + 1)
-        yield pd.DataFrame({"sale": pd.Series([], dtype=str), "seq": pd.Series([], dtype="int64"), "verdict": pd.Series([], dtype=str), "available": pd.Series([], dtype="Int64")})
+        yield self._frame(key[0], [], [], [])
+
+    @staticmethod
+    def _frame(sale: str, seq: list, said: list, left: list) -> pd.DataFrame:
+        kinds = {"sale": ([sale] * len(seq), object), "seq": (seq, "int64"), "verdict": (said, object), "available": (left, "Int64")}
+        return pd.DataFrame({n: pd.Series(v, dtype=t) for n, (v, t) in kinds.items()})
 
     def close(self) -> None:
         pass
