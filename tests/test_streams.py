@@ -123,7 +123,7 @@ RULES = tracks.Rules(lookback_h=6.0)
 
 
 def reports(spark, rows):
-    return spark.createDataFrame([(k, at(60 * m), 60.0, 5.05 + lon, knots, 90.0) for k, m, lon, knots in rows], REPORTS)
+    return spark.createDataFrame([(k, at(60 * m), 60.1, 5.05 + lon, knots, 90.0) for k, m, lon, knots in rows], REPORTS)
 
 
 def test_late_data_withdraws_a_silence_and_redelivery_changes_nothing(spark, tmp_path):
