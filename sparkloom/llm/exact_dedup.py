@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import marked, ready, stored
+from .shared import marked, ready, stored, whole_row
 
 #: Counters of the summary, and how many digests it may name. A digest with over 3.5 / COUNTERS of the rows is named.
 COUNTERS, NAMED = 16_384, 4_096
@@ -69,11 +69,11 @@ def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rows = digests(docs, key, text)
     winners = frequent(rows, key)
     repeated = stored(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lower(F.hex("digest")).alias("digest")))
-    best = F.broadcast(winners.select(F.lower(F.hex("digest")).alias("_digest"), F.col(f"best.{key}").alias("_best"), F.lit(True).alias("_hot")))
+    best = F.broadcast(winners.select(F.lower(F.hex("digest")).alias("digest"), F.col(f"best.{key}").alias("best"), F.lit(True).alias("hot")))
     sha = F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256)
-    left = docs.withColumn("_digest", sha).join(best, "_digest", "left")
-    left = left.filter(F.col("_hot").isNull() | F.col(key).eqNullSafe(F.col("_best")))
-    told = marked(left, F.col("_digest"), repeated, F.col("digest"))
-    first = F.row_number().over(Window.partitionBy("_digest").orderBy(F.col(key).desc_nulls_last()))
-    one = told.filter("_marked").withColumn("_first", first).filter("_first = 1")
-    return told.filter("not _marked").select(docs.columns).unionByName(one.select(docs.columns))
+    left = docs.select(whole_row(docs), F.col(key).alias("key"), sha.alias("digest")).join(best, "digest", "left")
+    left = left.filter(F.col("hot").isNull() | F.col("key").eqNullSafe(F.col("best")))
+    told = marked(left, F.col("digest"), repeated, F.col("digest"))
+    first = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("key").desc_nulls_last()))
+    one = told.filter("_marked").withColumn("first", first).filter("first = 1")
+    return told.filter("not _marked").select("row.*").unionByName(one.select("row.*"))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packing import slices
-from .shared import dealt_join, marked, ready, stored, text_digest
+from .shared import dealt_join, marked, ready, stored, text_digest, whole_row
 
 WORDS, SIMILARITY, TARGET_RECALL = 5, 0.8, 0.998
 COORDINATES, DEPTH = 64, 4
@@ -413,10 +413,11 @@ def one_of_each(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataF
     """docs without the rows that don't stand for their class in found (a table that `classes` gives)."""
     settled = found.filter((F.col("n_copies") == 1) & (F.col("digest") == F.col("class_digest"))).select("digest")
     doubtful = stored(found.join(settled, "digest", "left_anti").select("digest", "key", (F.col("digest") == F.col("class_digest")).alias("stands")))
-    rows = marked(docs.withColumn("_digest", text_digest(text)), F.col("_digest"), doubtful, F.col("digest"))
-    told = doubtful.select(F.col("digest").alias("_digest"), F.col("key").alias("_key"), F.col("stands").alias("_stands"))
+    held = docs.select(whole_row(docs), F.col(key).cast("long").alias("key"), text_digest(text).alias("digest"))
+    rows = marked(held, F.col("digest"), doubtful, F.col("digest"))
+    told = doubtful.select("digest", F.col("key").alias("best"), "stands")
     # losers go before the winners of a text meet: a text's rows with its largest key are all that is left to number
-    met = rows.filter("_marked").join(told.hint("merge"), "_digest", "left").filter(F.col("_stands").isNull() | (F.col("_stands") & F.col(key).cast("long").eqNullSafe(F.col("_key"))))
-    first = F.row_number().over(Window.partitionBy("_digest", key).orderBy(F.lit(1)))
-    one = met.filter("_stands").withColumn("_first", first).filter("_first = 1").select(docs.columns)
-    return rows.filter("not _marked").select(docs.columns).unionByName(met.filter("_stands is null").select(docs.columns)).unionByName(one)
+    met = rows.filter("_marked").join(told.hint("merge"), "digest", "left").filter(F.col("stands").isNull() | (F.col("stands") & F.col("key").eqNullSafe(F.col("best"))))
+    first = F.row_number().over(Window.partitionBy("digest", "key").orderBy(F.lit(1)))
+    one = met.filter("stands").withColumn("first", first).filter("first = 1").select("row.*")
+    return rows.filter("not _marked").select("row.*").unionByName(met.filter("stands is null").select("row.*")).unionByName(one)

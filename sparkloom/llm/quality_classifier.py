@@ -94,7 +94,7 @@ class Cumulative:
 def learn(docs: DataFrame, ratings: DataFrame, training: Column, key: str = "doc_id", text: str = "text", grade: str = "grade") -> dict:
     ready(docs.sparkSession)
     marks = ratings.filter(training & F.col(grade).isNotNull()).groupBy(key).agg(F.max(grade).cast("int").alias("grade"))
-    drawn = marks.orderBy(F.xxhash64(key), key).limit(SAMPLE_ROWS).select(F.col(key).alias("_key"), "grade")
+    drawn = marks.orderBy(F.xxhash64(key), key).limit(SAMPLE_ROWS).select(F.col(key).alias("key"), "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, rows=256, size=4 << 20):
@@ -105,7 +105,8 @@ def learn(docs: DataFrame, ratings: DataFrame, training: Column, key: str = "doc
             yield pa.RecordBatch.from_arrays([b["grade"], both[0].cast(pa.list_(pa.int32())), both[1].cast(pa.list_(pa.float32()))], names=["grade", "col", "value"])
 
     # the sample is bounded, so its keys can go to every task
-    rows = docs.join(F.broadcast(drawn), F.col(key) == F.col("_key")).select(F.col(text).cast("string").alias("text"), "grade")
+    named = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = named.join(F.broadcast(drawn), "key").select("text", "grade")
     found = rows.mapInArrow(run, "grade int, col array<int>, value array<float>").toArrow()
     grades = found["grade"].to_numpy().astype(np.int64)
     if len(set(grades.tolist())) < 2:

@@ -54,6 +54,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one, so that none can have the name of a helper column."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row")
+
+
 def text_digest(text: str) -> Column:
     """16 bytes that name a text; a null counts as empty."""
     return F.unhex(F.substring(F.sha2(F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8"), 256), 1, 32))
