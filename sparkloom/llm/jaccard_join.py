@@ -48,7 +48,7 @@ FEW, SMALL = 12, 64
 #: Sets drawn to tell how alike a node's sets are, and the mean agreement of their sketches in a dense node.
 DRAWN, DENSE = 32, 0.5
 #: Sets and shingles on each side of a tile, about.
-TILE, TILE_SHINGLES = 3072, 1_000_000
+TILE, TILE_SHINGLES = 2048, 700_000
 #: Pairs whose sketches agree less than this are four standard deviations below the threshold.
 SURELY_BELOW = SIMILARITY - 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
 _FACTORS = np.random.default_rng(5).integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
