@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workers import reachable
+
 KINDS = ("reserve", "confirm", "release", "adjust")
 COLUMNS = "sale string, seq long, at double, kind string, user string, section string, qty long, key string, total long, opens double, hold_seconds double, most long"
 VERDICTS = "sale string, seq long, verdict string, available long"
@@ -180,6 +182,7 @@ def replay(commands: DataFrame, sections: DataFrame, sales: DataFrame, ttl: floa
                 left.append(available)
             yield pa.RecordBatch.from_arrays([b["sale"], b["seq"], pa.array(said, pa.string()), pa.array(left, pa.int64())], names=["sale", "seq", "verdict", "available"])
 
+    reachable(commands.sparkSession)
     rows = prepared(commands, sections, sales)
     bad = rows.filter(~F.coalesce(well_formed(), F.lit(False))).select("sale", "seq", F.lit("malformed").alias("verdict"), F.lit(None).cast("long").alias("available"))
     good = rows.filter(well_formed()).repartition("sale").sortWithinPartitions("sale", "at", "seq")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import claims, indexes, labels, learners, lookups, prices, profiles, reports, rulesets, scalars, silence, streams  # noqa: F401  (they register their queries)
+from . import claims, indexes, ingest, labels, learners, lookups, prices, profiles, reports, rulesets, scalars, silence, streams  # noqa: F401  (they register their queries)
 from .tables import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

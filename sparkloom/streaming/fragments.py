@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.fragments import OUT, in_range, named, refused
+from ..sources.workers import reachable
 
 
 class Joiner(StatefulProcessor):
@@ -89,6 +90,7 @@ class Joiner(StatefulProcessor):
 
 def join_fragments(parts: DataFrame, keys: Sequence[str], total: str, num: str, ts: str, tie: str, payload: str, timeout: float, delay: str) -> DataFrame:
     """(keys, first_tie, outcome, n_parts, payload) of a stream of parts."""
+    reachable(parts.sparkSession)
     parts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = named(parts, keys, total, num, ts, tie, payload)
     good = rows.filter(in_range(keys)).withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("long"))).withWatermark("ts", delay)

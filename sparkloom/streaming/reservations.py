@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.reservations import VERDICTS, Sale, prepared, well_formed
+from ..sources.workers import reachable
 
 #: (name, key, value) of the state variables, in the order that Sale takes them.
 STATE = (
@@ -93,6 +94,7 @@ class Replay(StatefulProcessor):
 
 def replay(commands: DataFrame, sections: DataFrame, sales: DataFrame, ttl: float, delay: str) -> DataFrame:
     """(sale, seq, verdict, available) of a stream of commands; sections and sales are tables."""
+    reachable(commands.sparkSession)
     commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = prepared(commands, sections, sales)
     good = rows.filter(well_formed()).withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("long"))).withWatermark("ts", delay)

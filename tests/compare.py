@@ -30,4 +30,5 @@ def differences(df, sql: str, sf_dir: str) -> str:
     if canonical(got) == canonical(want):
         return ""
     a, b = canonical(got), canonical(want)
-    return f"{len(a)} rows, SQL {len(b)}; {[x for x in a if x not in b][:2]} / {[x for x in b if x not in a][:2]}"
+    one, two = set(a), set(b)
+    return f"{len(a)} rows, SQL {len(b)}; {[x for x in a if x not in two][:2]} / {[x for x in b if x not in one][:2]}"
