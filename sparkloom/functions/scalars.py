@@ -137,3 +137,8 @@ def plural(n: Column, one: str, many: str) -> Column:
 def percent_down(share: Column) -> Column:
     """A share as whole per cent, rounded down, so that no card tells more than is so."""
     return F.concat(F.floor(share * 100).cast("string"), F.lit("%"))
+
+
+def country_digits(vessel: Column) -> Column:
+    """The first three of a vessel number's nine digits, which name the country it is registered in; null for others."""
+    return F.when(vessel.between(100_000_000, 999_999_999), F.floor(vessel / 1_000_000).cast("int"))

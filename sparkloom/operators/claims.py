@@ -153,3 +153,8 @@ def uncertainty(probabilities: DataFrame, key: str, p: str) -> DataFrame:
     """(key, uncertainty, entropy) of an item's node probabilities: the most undecided node, and the sum in bits."""
     h = lambda x: F.when((x > 0) & (x < 1), -(x * F.log2(x) + (1 - x) * F.log2(1 - x))).otherwise(0.0)
     return probabilities.groupBy(key).agg(F.round(F.max(1 - F.abs(2 * c(p) - 1)), 6).alias("uncertainty"), F.round(F.sum(h(c(p))), 6).alias("entropy"))
+
+
+def story_cards(stories: DataFrame, key: str, cards: str) -> DataFrame:
+    """(key, position, card): a row for each card of each story, in order from 0; a story without cards has none."""
+    return stories.select(key, F.posexplode(cards).alias("position", "card"))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.workers import reachable
+from .ranks import running
 
 KINDS = ("reserve", "confirm", "release", "adjust")
 COLUMNS = "sale string, seq long, at double, kind string, user string, section string, qty long, key string, total long, opens double, hold_seconds double, most long"
@@ -187,3 +188,18 @@ def replay(commands: DataFrame, sections: DataFrame, sales: DataFrame, ttl: floa
     bad = rows.filter(~F.coalesce(well_formed(), F.lit(False))).select("sale", "seq", F.lit("malformed").alias("verdict"), F.lit(None).cast("long").alias("available"))
     good = rows.filter(well_formed()).repartition("sale").sortWithinPartitions("sale", "at", "seq")
     return good.mapInArrow(run, VERDICTS).unionByName(bad)
+
+
+def admission_schedule(joins: DataFrame, sales: DataFrame, seed: str) -> DataFrame:
+    """(sale, user, place, second): when each user of a queue is let in. joins: sale, user, at; sales: sale, opens, rate.
+
+    Who joined before a sale opens draws a place in the lobby (a seeded hash, so reruns agree); later ones queue behind by
+    arrival, ties by user. Joining again keeps the first place. From the opening on `rate` users are let in each second:
+    place k in second floor(k / rate). Sales without rules have no schedule; rows with a null count for nothing."""
+    first = joins.filter("sale is not null and user is not null and at is not null").groupBy("sale", "user").agg(F.min("at").alias("at"))
+    rows = first.join(sales.select("sale", "opens", "rate"), "sale")
+    lobby = F.col("at") < F.col("opens")
+    rows = rows.withColumn("late", (~lobby).cast("int")).withColumn("draw", F.when(lobby, F.md5(F.concat_ws(":", F.lit(seed), F.col("sale").cast("string"), F.col("user").cast("string")))))
+    order = [F.col("late"), F.col("draw"), F.when(~lobby, F.col("at")), F.col("user")]
+    placed = running(rows, "sum", F.lit(1).cast("long"), "place", *order, by=["sale"])
+    return placed.select("sale", "user", (F.col("place") - 1).alias("place"), F.expr("(place - 1) div rate").alias("second"))

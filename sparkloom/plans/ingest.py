@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import texts
+from ..functions.scalars import country_digits
 from ..operators import properties as P
+from ..operators.claims import story_cards
 from ..sources import feeds, payloads
 from ..sources.files import file_set_manifest
 from ..sources.scratch import scratch
@@ -180,3 +182,34 @@ def M26_check_properties(spark, d):
         "payments": _t(spark, d, "lineitem").filter("l_orderkey % 7 != 0").select(F.col("l_orderkey").alias("order_id"), F.col("l_returnflag").alias("method"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents")),
     }
     return P.check_properties(raw, shop, _SHOP_CHECKS)
+
+
+#: A second provider's documents made from events.
+_PROVIDER = """CASE WHEN event_id % 41 = 0 THEN '{' WHEN event_type = 'error' THEN '{"MessageType": "Unknown", "Message": {}}' WHEN event_type = 'signup' THEN concat('{"MessageType": "ShipStaticData", "Message": {"ShipStaticData": {"UserID": ', 200000000 + user_id, ', "Name": "', CASE WHEN event_id % 3 = 0 THEN '  ' ELSE ' SHIP ' END, '", "ImoNumber": ', event_id % 5, ', "Dimension": {"A": ', event_id % 90, '}}}}')
+ ELSE concat('{"MessageType": "', CASE WHEN event_type = 'view' THEN 'StandardClassBPositionReport' ELSE 'PositionReport' END, '", "MetaData": {"time_utc": "2024-01-0', 1 + event_id % 9, ' 10:20:', 30 + event_id % 30, '.318353 +0000 UTC"}, "Message": {"', CASE WHEN event_type = 'view' THEN 'StandardClassBPositionReport' ELSE 'PositionReport' END, '": {"UserID": ', 200000000 + user_id, ', "Latitude": ', event_id % 80, '.5, "Longitude": 10, "Sog": ',
+  CASE WHEN event_id % 7 = 0 THEN '102.3' ELSE '7.5' END, ', "Cog": ', event_id * 11 % 400, ', "TrueHeading": ', CASE WHEN event_id % 6 = 0 THEN 511 ELSE event_id % 360 END, ', "Timestamp": ', event_id * 7 % 64, '}}}') END"""
+
+
+@query("""WITH e AS (SELECT *, event_id % 41 <> 0 AND event_type IN ('view', 'click', 'purchase') AS pos, event_id % 41 <> 0 AND event_type = 'signup' AS sta, epoch(TIMESTAMP '2024-01-01 10:20:00')::BIGINT + 86400 * (event_id % 9) + 30 + event_id % 30 AS heard, event_id * 7 % 64 AS sec FROM events)
+ SELECT event_id, CASE WHEN pos THEN 'position' WHEN sta THEN 'static' END AS kind, CASE WHEN pos THEN CASE WHEN event_type = 'view' THEN 18 ELSE 1 END WHEN sta THEN 5 END AS msg_type, CASE WHEN pos OR sta THEN 200000000 + user_id END AS mmsi, CASE WHEN pos THEN event_id % 80 + 0.5 END::DOUBLE AS lat, CASE WHEN pos THEN 10.0 END::DOUBLE AS lon,
+ CASE WHEN pos AND event_id % 7 <> 0 THEN 7.5 END::DOUBLE AS sog, CASE WHEN pos AND event_id * 11 % 400 < 360 THEN event_id * 11 % 400 END::DOUBLE AS cog, CASE WHEN pos AND event_id % 6 <> 0 THEN event_id % 360 END::DOUBLE AS heading, CASE WHEN pos THEN CASE WHEN sec BETWEEN 0 AND 59 THEN heard - ((heard + 5 - sec) % 60 + 60) % 60 + 5 ELSE heard END END AS ts,
+ CASE WHEN sta AND event_id % 3 <> 0 THEN 'SHIP' END AS name, CASE WHEN sta AND event_id % 5 <> 0 THEN event_id % 5 END AS imo, CASE WHEN sta THEN CAST(event_id % 90 AS INT) END AS to_bow, NULL::DOUBLE AS draught FROM e""")
+def S17_normalise_provider_json(spark, d):
+    docs = _t(spark, d, "events").selectExpr("event_id", f"{_PROVIDER} AS doc")
+    return feeds.normalise_provider_json(docs, "doc").drop("doc")
+
+
+@query("SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) - 1 AS INT) AS position, event_type AS card FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)")
+def S12_publish_cards(spark, d):
+    """Each user's kinds of events, most frequent first, as a list, published as rows."""
+    counts = _t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    stories = counts.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "event_type"))).alias("x")).select("user_id", F.col("x.event_type").alias("cards"))
+    return story_cards(stories, "user_id", "cards")
+
+
+@query("SELECT event_id, n_name AS flag FROM (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN user_id ELSE (200 + user_id % 40) * 1000000 + user_id END AS id FROM events) LEFT JOIN nation ON n_nationkey + 200 = id // 1000000 AND id BETWEEN 100000000 AND 999999999")
+def F19_flag_of(spark, d):
+    """Vessel numbers made from events; nations stand for countries, whose digits are 200 and the nation's key."""
+    ids = _t(spark, d, "events").selectExpr("event_id", "CASE WHEN event_id % 9 = 0 THEN user_id ELSE (200 + user_id % 40) * 1000000 + user_id END AS id")
+    flags = _t(spark, d, "nation").select((F.col("n_nationkey") + 200).alias("digits"), F.col("n_name").alias("flag"))
+    return ids.withColumn("digits", country_digits(F.col("id"))).join(flags, "digits", "left").select("event_id", "flag")

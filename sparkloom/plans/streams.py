@@ -164,3 +164,13 @@ def X04_poison_isolation(spark, d):
     none = F.lit(None).cast("string").alias("reason")
     good = [landed.table(t).select("cid", F.lit(s).alias("sink"), none) for t, s in (("positions", "position"), ("statics", "static"))]
     return good[0].unionByName(good[1]).unionByName(landed.table("dead").select("cid", F.lit("dead").alias("sink"), "reason"))
+
+
+@query("""WITH j AS (SELECT event_id % 11 AS sale, user_id AS "user", min(ts) AS tm FROM events GROUP BY 1, 2), s AS (SELECT event_id % 11 AS sale, min(ts) + INTERVAL 12 DAY AS opens, event_id % 11 % 3 + 1 AS rate FROM events GROUP BY event_id % 11),
+ r AS (SELECT j.sale, "user", rate, row_number() OVER (PARTITION BY j.sale ORDER BY tm >= opens, CASE WHEN tm < opens THEN md5('draw:' || j.sale || ':' || "user") END NULLS FIRST, CASE WHEN tm >= opens THEN tm END NULLS FIRST, "user") - 1 AS place FROM j JOIN s ON s.sale = j.sale) SELECT sale, "user", place, place // rate AS second FROM r""")
+def X14_admission_schedule(spark, d):
+    """Queues of eleven sales: the lobby drawn, later ones by arrival."""
+    events = _t(spark, d, "events")
+    joins = events.selectExpr("event_id % 11 AS sale", "user_id AS user", "ts AS at")
+    sales = events.groupBy((F.col("event_id") % 11).alias("sale")).agg((F.min("ts") + F.expr("INTERVAL 12 DAYS")).alias("opens")).withColumn("rate", F.col("sale") % 3 + 1)
+    return reservations.admission_schedule(joins, sales, "draw")

@@ -55,3 +55,41 @@ def release_notes(items: DataFrame) -> DataFrame:
     both = parts.unionByName(whole.filter("released_at is not null"))
     best = both.groupBy("event").agg(F.max_by(F.struct("released_at", "version", "title", "notes", "is_major"), F.struct(F.length("notes"), "title", "notes")).alias("x"))
     return best.select("event", "x.*")
+
+
+#: Kinds of a second provider's messages, and values from which on a field means "not known". Fixed values.
+POSITION_KINDS, STATIC_KIND, UNKNOWN_FROM, SKEW_S = {"PositionReport": 1, "StandardClassBPositionReport": 18}, "ShipStaticData", {"TrueHeading": 360, "Sog": 102.3, "Cog": 360}, 5
+
+
+def normalise_provider_json(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the common message shape in place of a provider's JSON; kind is null for documents of other kinds or no JSON.
+
+    A report gives only the second of its minute: its time is the latest with that second, at most SKEW_S after it was
+    received."""
+    at = lambda path, kind: F.try_variant_get("v", path, kind)
+    rows = docs.select(F.struct(*(c(x) for x in docs.columns)).alias("row"), F.try_parse_json(c(text)).alias("v")).withColumn("sort", at("$.MessageType", "string"))
+    body = lambda path, kind: F.coalesce(*(at(f"$.Message.{k}.{path}", kind) for k in (*POSITION_KINDS, STATIC_KIND)))
+    known = lambda path: F.when(body(path, "double") < UNKNOWN_FROM[path], body(path, "double"))
+    blank = lambda path: F.nullif(F.trim(body(path, "string")), F.lit(""))
+    zero = lambda path: F.nullif(body(path, "double"), F.lit(0.0))
+    number = F.create_map(*(F.lit(x) for kv in POSITION_KINDS.items() for x in kv))[c("sort")]
+    position, static = number.isNotNull(), c("sort") == STATIC_KIND
+    heard = F.unix_timestamp(F.try_to_timestamp(F.substring(at("$.MetaData.time_utc", "string"), 1, 19)))
+    second = body("Timestamp", "int")
+    when = F.when(second.between(0, 59), heard - F.pmod(heard + SKEW_S - second, F.lit(60)) + SKEW_S).otherwise(heard)
+    out = {
+        "kind": F.when(position, "position").when(static, "static"),
+        "msg_type": F.when(position, number).when(static, 5),
+        "mmsi": body("UserID", "long"),
+        "lat": F.when(position, body("Latitude", "double")),
+        "lon": F.when(position, body("Longitude", "double")),
+        "sog": F.when(position, known("Sog")),
+        "cog": F.when(position, known("Cog")),
+        "heading": F.when(position, known("TrueHeading")),
+        "ts": F.when(position, when),
+        "name": F.when(static, blank("Name")),
+        "imo": F.when(static, zero("ImoNumber")).cast("long"),
+        "to_bow": F.when(static, F.coalesce(body("Dimension.A", "int"), F.lit(0))),
+        "draught": F.when(static, zero("MaximumStaticDraught")),
+    }
+    return rows.select(*(c("row").getField(x).alias(x) for x in docs.columns), *(e.alias(n) for n, e in out.items()))
