@@ -158,3 +158,23 @@ def uncertainty(probabilities: DataFrame, key: str, p: str) -> DataFrame:
 def story_cards(stories: DataFrame, key: str, cards: str) -> DataFrame:
     """(key, position, card): a row for each card of each story, in order from 0; a story without cards has none."""
     return stories.select(key, F.posexplode(cards).alias("position", "card"))
+
+
+#: Probabilities are held this far from 0 and 1 before their logarithm.
+EPS = 1e-6
+
+
+def tree_uncertainty(conditional: DataFrame, key: str, path: str, p: str) -> DataFrame:
+    """(key, uncertainty, entropy) of an item's decisions in a tree. conditional: (key, path, p), the probability of a node
+    given its parent, paths with /. A node counts by its reach, the probability of its parent: the least certain reachable
+    decision (a maximum, so a node with many children isn't more uncertain for it), and the entropy of the whole tree in
+    nats. A node whose ancestors aren't all given is reached by those that are; null probabilities count for nothing."""
+    held = conditional.filter(c(p).isNotNull()).select(c(key).alias("key"), c(path).alias("path"), c(p).cast("double").alias("p"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    asked = held.filter(F.size(parts) > 1).select("key", "path", F.explode(above).alias("above"))
+    known = held.select("key", c("path").alias("above"), c("p").alias("q"))
+    reach = asked.join(known, ["key", "above"]).groupBy("key", "path").agg(F.when(F.min("q") <= 0, 0.0).otherwise(F.exp(F.sum(F.ln(F.greatest("q", F.lit(1e-300)))))).alias("reach"))
+    told = held.join(reach, ["key", "path"], "left").withColumn("reach", F.coalesce("reach", F.lit(1.0))).withColumn("near", F.least(F.lit(1 - EPS), F.greatest(F.lit(EPS), "p")))
+    h = -(c("near") * F.ln("near") + (1 - c("near")) * F.ln(1 - c("near")))
+    return told.groupBy("key").agg(F.max(c("reach") * (1 - F.abs(2 * c("p") - 1))).alias("uncertainty"), F.sum(c("reach") * h).alias("entropy")).withColumnRenamed("key", key)

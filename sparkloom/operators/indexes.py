@@ -112,3 +112,17 @@ def segment_scan(units: DataFrame, features: Sequence[str], treated: Column, out
     long = units.select(treated.alias("_t"), outcome.cast("int").alias("_y"), F.explode(F.array(*singles, *pairs)).alias("s"))
     mean = lambda t: F.avg(F.when(F.col("_t") == t, F.col("_y")))
     return long.groupBy("s.feature", "s.value").agg(F.count("*").alias("n"), F.round(mean(True) - mean(False), 6).alias("uplift"))
+
+
+def profits(units: DataFrame, groups: Sequence[str], targeted: Column, treated: Column, outcome: Column, value: float, cost: float, least: int) -> DataFrame:
+    """(groups, share, policy, treat_all, treat_none): profit for each unit if only the targeted ones are treated, if all
+    are, if none is. Targeted units count by what treated ones among them gave, the others by control units; all three are
+    null where a cell that is needed has fewer than `least` units. Units with a null in any of the three are left out."""
+    rows = units.select(*groups, targeted.alias("_goal"), treated.alias("_t"), outcome.cast("double").alias("_y")).filter("_goal is not null and _t is not null and _y is not null")
+    cell = lambda name, where: [F.count_if(where).alias(f"_n_{name}"), F.avg(F.when(where, F.col("_y"))).alias(f"_m_{name}")]
+    goal, t = F.col("_goal"), F.col("_t")
+    sums = rows.groupBy(*groups).agg(F.avg(goal.cast("int")).alias("share"), *cell("in", goal & t), *cell("out", ~goal & ~t), *cell("t", t), *cell("c", ~t))
+    f = F.col("share")
+    enough = (F.col("_n_t") >= least) & (F.col("_n_c") >= least) & ((f == 0) | (F.col("_n_in") >= least)) & ((f == 1) | (F.col("_n_out") >= least))
+    policy = value * (F.when(f > 0, f * F.col("_m_in")).otherwise(0.0) + F.when(f < 1, (1 - f) * F.col("_m_out")).otherwise(0.0)) - cost * f
+    return sums.select(*groups, "share", F.when(enough, policy).alias("policy"), F.when(enough, value * F.col("_m_t") - cost).alias("treat_all"), F.when(enough, value * F.col("_m_c")).alias("treat_none"))

@@ -160,3 +160,17 @@ def M15_uncertainty(spark, d):
     counts = _t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     total = counts.groupBy("user_id").agg(F.sum("n").alias("all"))
     return C.uncertainty(counts.join(total, "user_id").withColumn("p", F.col("n") / F.col("all")), "user_id", "p")
+
+
+@query(f"""WITH t AS (SELECT user_id, event_type AS a, count(*) AS n FROM events GROUP BY 1, 2), c AS (SELECT user_id, a, n / sum(n) OVER (PARTITION BY user_id) AS p FROM t), o AS (SELECT user_id, event_type AS a, event_id % 3 AS k, count(*) AS n FROM events GROUP BY 1, 2, 3),
+ d AS (SELECT user_id, p, 1.0 AS reach FROM c UNION ALL SELECT o.user_id, o.n / t.n, c.p FROM o JOIN t ON t.user_id = o.user_id AND t.a = o.a JOIN c ON c.user_id = o.user_id AND c.a = o.a), e AS (SELECT *, least({1 - C.EPS}, greatest({C.EPS}, p)) AS q FROM d)
+ SELECT user_id, round(max(reach * (1 - abs(2 * p - 1))), 6) AS uncertainty, round(sum(reach * -(q * ln(q) + (1 - q) * ln(1 - q))), 6) AS entropy FROM e GROUP BY 1""")
+def M15_tree_uncertainty(spark, d):
+    """A tree of two levels for each user: the kind of an event, and its number modulo 3 within the kind."""
+    events = _t(spark, d, "events").selectExpr("user_id", "event_type AS a", "concat(event_type, '/', event_id % 3) AS b")
+    kinds = events.groupBy("user_id", "a").agg(F.count(F.lit(1)).alias("n"))
+    total = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("all"))
+    first = kinds.join(total, "user_id").select("user_id", F.col("a").alias("path"), (F.col("n") / F.col("all")).alias("p"))
+    within = events.groupBy("user_id", "a", "b").agg(F.count(F.lit(1)).alias("m")).join(kinds, ["user_id", "a"]).select("user_id", F.col("b").alias("path"), (F.col("m") / F.col("n")).alias("p"))
+    told = C.tree_uncertainty(first.unionByName(within), "user_id", "path", "p")
+    return told.select("user_id", F.round("uncertainty", 6).alias("uncertainty"), F.round("entropy", 6).alias("entropy"))

@@ -114,3 +114,15 @@ def M06_segment_scan(spark, d):
 @query(f"SELECT CAST(least(floor({_SCORE} * 20), 19) AS BIGINT) AS bin, count(*) AS n, round(avg({_SCORE}), 6) AS mean_score, round(avg(CAST({_OUTCOME} AS INT)), 6) AS hit_rate FROM orders GROUP BY 1")
 def M18_reliability_bins(spark, d):
     return I.reliability(_t(spark, d, "orders"), _score(), F.expr(_OUTCOME), 20)
+
+
+_GOAL = "o_totalprice > 90000"
+
+
+@query(f"""WITH u AS (SELECT o_orderpriority, {_GOAL} AS g, {_TREATED} AS t, CAST({_OUTCOME} AS INT) AS y FROM orders), s AS (SELECT o_orderpriority, avg(CAST(g AS INT)) AS f, count(*) FILTER (g AND t) AS n1, avg(y) FILTER (g AND t) AS m1, count(*) FILTER (NOT g AND NOT t) AS n2, avg(y) FILTER (NOT g AND NOT t) AS m2,
+ count(*) FILTER (t) AS n3, avg(y) FILTER (t) AS m3, count(*) FILTER (NOT t) AS n4, avg(y) FILTER (NOT t) AS m4 FROM u GROUP BY 1), e AS (SELECT *, n3 >= 30 AND n4 >= 30 AND (f = 0 OR n1 >= 30) AND (f = 1 OR n2 >= 30) AS ok FROM s)
+ SELECT o_orderpriority, round(f, 6) AS share, CASE WHEN ok THEN round(20.0 * (coalesce(f * m1, 0) + coalesce((1 - f) * m2, 0)) - 3.0 * f, 6) END AS policy, CASE WHEN ok THEN round(20.0 * m3 - 3.0, 6) END AS treat_all, CASE WHEN ok THEN round(20.0 * m4, 6) END AS treat_none FROM e""")
+def M05_profits(spark, d):
+    """Dear orders are targeted; profit of that policy, of treating all and of treating none, by priority."""
+    told = I.profits(_t(spark, d, "orders"), ["o_orderpriority"], F.expr(_GOAL), F.expr(_TREATED), F.expr(_OUTCOME), 20.0, 3.0, 30)
+    return told.select("o_orderpriority", *(F.round(n, 6).alias(n) for n in ("share", "policy", "treat_all", "treat_none")))
