@@ -30,7 +30,7 @@ def active(spark: SparkSession, root: str) -> dict[str, str | None]:
 
 
 def _activate(spark: SparkSession, root: str, run: str, previous: str | None) -> None:
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(_path(spark, root).toUri(), spark._jsc.hadoopConfiguration())
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(_fs(spark, root).getUri(), spark._jsc.hadoopConfiguration())
     held = _path(spark, f"{root}/.active-{uuid.uuid4().hex}")
     out = _fs(spark, root).create(held, True)
     out.write(bytearray(json.dumps({"run": run, "previous": previous}).encode()))
