@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import EARTH_M, KNOT_MS, dead_reckon, haversine_m
+from ..functions.scalars import EARTH_M, KNOT_MS, dead_reckon, haversine_m, libm_asin
+from ..sources.workers import reachable
 
 c = F.col
 
@@ -126,12 +127,12 @@ def neighbours(gaps: DataFrame, at: DataFrame, rules: Rules) -> DataFrame:
 def reception(gaps: DataFrame, grid: DataFrame, rules: Rules) -> DataFrame:
     """(thing, silent_from, reception_from, reception_to): the worst cell along half an hour of track, ahead of where a
     thing vanished and behind where it came back (null while it hasn't); a cell that was never heard counts as 0."""
-    points = []
-    for side, sign in ((0, 1), (1, -1)):
-        for s in TRACK_S:
-            lat, lon = dead_reckon(c(f"lat{side}"), c(f"lon{side}"), c(f"knots{side}"), c(f"course{side}"), F.lit(float(sign * s)))
-            points.append(F.struct(F.lit(side).alias("side"), F.floor(lon / rules.cell_deg).alias("cx"), F.floor(lat / rules.cell_deg).alias("cy")))
-    asked = gaps.select(*KEYS, F.explode(F.array(*points)).alias("p")).select(*KEYS, "p.*").filter("cx is not null")
+    side = lambda k, s: F.struct(F.lit(k).alias("side"), F.lit(float(s)).alias("s"), *(c(f"{n}{k}").alias(n) for n in ("lat", "lon", "knots", "course")))
+    points = gaps.select(*KEYS, F.explode(F.array(*(side(k, sign * s) for k, sign in ((0, 1), (1, -1)) for s in TRACK_S))).alias("p")).select(*KEYS, "p.*")
+    # cells are cut here, so the last bit counts
+    reachable(gaps.sparkSession)
+    lat, lon = dead_reckon(c("lat"), c("lon"), c("knots"), c("course"), c("s"), libm_asin)
+    asked = points.select(*KEYS, "side", F.floor(lon / rules.cell_deg).alias("cx"), F.floor(lat / rules.cell_deg).alias("cy")).filter("cx is not null")
     told = asked.join(grid.select("cx", "cy", "reliability"), ["cx", "cy"], "left").withColumn("reliability", F.coalesce("reliability", F.lit(0.0)))
     worst = lambda side: F.min(F.when(c("side") == side, c("reliability")))
     return told.groupBy(*KEYS).agg(worst(0).alias("reception_from"), worst(1).alias("reception_to"))
