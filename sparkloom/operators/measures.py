@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .nearest import candidates
 from .ranks import numbered
 
 
@@ -61,14 +62,10 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """Exact nearest neighbours by cosine, self excluded, ties by key. queries is a stated set: Spark sends it to every task
-    where it is small and pairs it with the vectors in blocks where it isn't; each block keeps its best k before anything
-    is shuffled, and a vector's own square is summed once."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    wide = F.col(vector).cast("array<double>")
-    side = lambda d, name, v: d.select(F.col(key).alias(name), wide.alias(v), dot(wide, wide).alias(f"{v}_square"))
-    pairs = side(vectors, "neighbour_id", "_v").join(side(queries, "query_id", "_q"), F.col("neighbour_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "neighbour_id", F.round(dot(F.col("_v"), F.col("_q")) / F.sqrt(F.col("_v_square") * F.col("_q_square")), 6).alias("cosine"))
+    """Exact nearest neighbours by cosine, self excluded, ties by key. queries is a stated set, which meets the vectors
+    in blocks; each pair of blocks keeps what can be among the best k before anything is shuffled."""
+    near = candidates(vectors, queries, key, F.col(vector), k, cosine=True)
+    scored = near.select("query_id", "neighbour_id", F.round(F.col("a") / F.sqrt(F.col("b") * F.col("c")), 6).alias("cosine"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "neighbour_id"))
     return scored.withColumn("place", place).filter(F.col("place") <= k)
 
