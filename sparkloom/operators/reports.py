@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .nearest import candidates
 from .ranks import numbered
 
 c = F.col
@@ -86,10 +87,8 @@ def entity_card(things: DataFrame, facts: DataFrame, key: str, ts: str, tie: str
 def knn_2d(points: DataFrame, queries: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
     """Exact nearest neighbours in the plane, self excluded, ties by key. queries is a stated set; points meet it in blocks
     and each block keeps its best k before anything is shuffled."""
-    asked = queries.select(c(key).alias("query_id"), c(x).alias("_x"), c(y).alias("_y"))
-    squared = lambda a, b: (a - b).cast("double") * (a - b).cast("double")
-    pairs = points.crossJoin(asked).filter(c(key) != c("query_id"))
-    near = pairs.select("query_id", c(key).alias("neighbour_id"), (squared(c(x).cast("double"), c("_x").cast("double")) + squared(c(y).cast("double"), c("_y").cast("double"))).alias("squared"))
+    place = F.array(c(x).cast("double"), c(y).cast("double"))
+    near = candidates(points, queries, key, place, k, cosine=False).select("query_id", "neighbour_id", c("a").alias("squared"))
     w = Window.partitionBy("query_id").orderBy("squared", "neighbour_id")
     return near.withColumn("place", F.row_number().over(w)).filter(c("place") <= k)
 
