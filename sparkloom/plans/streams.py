@@ -97,9 +97,10 @@ def X11_detect_pass(spark, d):
     kinds = {x: "double" for x in ("lat", "lon", "knots", "course")}
     reports = reports.select("thing", "ts", *(F.col(x).cast(k).alias(x) for x, k in kinds.items()), "arrival")
     for k in range(4):
-        reports.filter(F.col("arrival") == k).drop("arrival").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(reports.drop("arrival").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    return silence.said(detection.follow(stream, folder, silence._RULES)).drop("changed_batch", "day")
+        reports.filter(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(reports.drop("arrival").schema).parquet(f"{folder}/in")
+        found = detection.follow(stream, folder, silence._RULES)
+    return silence.said(found).drop("changed_batch", "day")
 
 
 @query("SELECT 'r2' AS run, 'r3' AS previous, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_orderstatus")
@@ -156,10 +157,11 @@ def X04_poison_isolation(spark, d):
     """Records in three batches, one of them delivered again: each lands in one of three tables with its reason."""
     folder, events = scratch(spark), _t(spark, d, "events")
     records = events.selectExpr(*_RECORD)
+    # the stream takes what has come since its last run as one batch, in as many tasks as there are files
     for part in (0, 1, 2):
-        records.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(records.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    landed = sink.land(stream, folder, F.lit(1_706_000_000.0))
+        records.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(records.drop("part").schema).parquet(f"{folder}/in")
+        landed = sink.land(stream, folder, F.lit(1_706_000_000.0))
     landed.absorb(records.filter("part = 1").drop("part"), 1)
     none = F.lit(None).cast("string").alias("reason")
     good = [landed.table(t).select("cid", F.lit(s).alias("sink"), none) for t, s in (("positions", "position"), ("statics", "static"))]

@@ -26,21 +26,29 @@ POSITION = "mmsi long, ts timestamp, lat double, lon double, sog float, cog floa
 NUMBERS, WHOLE = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", r"^BIGINT$"
 
 
+FIELDS = ("source", "received_at", "mmsi", "lat", "lon", *OPTIONAL, "ts", "msg_type", "cid", "reason")
+
+
 def _field(name: str) -> tuple[Column, Column, Column]:
-    """(the field's JSON type, whether it is given and not null, its value as a double)."""
-    value = F.try_variant_get("v", f"$.{name}", "variant")
-    kind = F.schema_of_variant(value)
-    return kind, value.isNotNull() & (kind != "VOID"), F.try_variant_get("v", f"$.{name}", "double")
+    """(the field's JSON type, whether it is given and not null, its value as a double), of `_fields`."""
+    return c(f"_kind_{name}"), c(f"_kind_{name}").isNotNull() & (c(f"_kind_{name}") != "VOID"), c(f"_value_{name}")
+
+
+def _fields(rows: DataFrame) -> DataFrame:
+    """rows with each field's type and value as columns, so that the rules look a field up once and not once each."""
+    kinds = {f"_kind_{n}": F.schema_of_variant(F.try_variant_get("v", f"$.{n}", "variant")) for n in FIELDS}
+    values = {f"_value_{n}": F.try_variant_get("v", f"$.{n}", "double") for n in FIELDS if n not in ("source", "cid", "reason")}
+    return rows.withColumns(kinds | values | {"_whole": F.schema_of_variant("v")})
 
 
 def classified(records: DataFrame, topic: str, body: str, now: Column) -> DataFrame:
     """records with kind (position, static, dead or reject), reason (null but for dead letters), and v, the parsed body."""
-    rows = records.withColumn("v", F.try_parse_json(c(body)))
+    rows = _fields(records.withColumn("v", F.try_parse_json(c(body))))
     number = lambda n: F.coalesce(_field(n)[0].rlike(NUMBERS), F.lit(False))
     whole = lambda n: F.coalesce(_field(n)[0].rlike(WHOLE), F.lit(False))
     text = lambda n: F.coalesce(_field(n)[0] == "STRING", F.lit(False))
     value = lambda n: _field(n)[2]
-    an_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    an_object = F.coalesce(c("_whole").startswith("OBJECT"), F.lit(False))
     envelope = [("unparseable_record", ~an_object), ("missing_envelope", ~(text("source") & number("received_at")))]
     vessel = ("non_vessel_mmsi", ~(whole("mmsi") & F.coalesce(value("mmsi").between(*VESSELS), F.lit(False))))
     refused = ("sink_refuses_received_at", ~value("received_at").between(0, LAST_TS))
@@ -66,7 +74,8 @@ def classified(records: DataFrame, topic: str, body: str, now: Column) -> DataFr
     own = F.coalesce(first_failure([letter]), F.try_variant_get("v", "$.reason", "string"))
     reason = F.when(dead, own).when(static, first_failure([*envelope, vessel, refused])).when(c(topic) == "position", first_failure(position)).otherwise("unknown_topic")
     kind = F.when(dead, "dead").when(reason.isNotNull(), "reject").when(static, "static").otherwise("position")
-    return rows.withColumn("reason", reason).withColumn("kind", kind)
+    told = rows.withColumn("reason", reason).withColumn("kind", kind)
+    return told.select(*records.columns, "v", "reason", "kind")
 
 
 def typed(rows: DataFrame, schema: str, *kept: str) -> DataFrame:
@@ -96,7 +105,11 @@ class Landing:
         return self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{name}")
 
     def _put(self, df: DataFrame, name: str, *keys: str) -> None:
-        replace_partition(df, f"{self.folder}/{name}", *keys)
+        if keys == ("batch",):
+            # one key holds the whole batch: written by the tasks that have it
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.folder}/{name}")
+        else:
+            replace_partition(df, f"{self.folder}/{name}", *keys)
 
     def absorb(self, records: DataFrame, batch_id: int) -> None:
         now = F.unix_micros(F.current_timestamp()) / 1e6 if self.now is None else self.now

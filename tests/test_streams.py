@@ -235,3 +235,11 @@ def test_no_record_can_end_the_batch(spark, tmp_path):
     assert (told[0].records, told[0].positions, told[0].duplicates, told[0].statics, told[0].dead) == (len(bodies), 1, 1, 1, len(bodies) - 3)
     assert (told[1].positions, told[1].duplicates) == (0, 1)
     assert landed.table("positions").count() == 1 and landed.table("dead").filter("reason is null").count() == 0
+
+
+def test_dead_letters_of_a_batch_are_written_by_all_tasks(spark, tmp_path):
+    records = spark.range(0, 4000, 1, 4).selectExpr("'elsewhere' AS topic", "concat('{\"n\": ', id, '}') AS body", "CAST(id AS STRING) AS cid")
+    landing = sink.Landing(spark, f"file://{tmp_path}/x")
+    landing.absorb(records, 0)
+    assert landing.table("dead").count() == 4000
+    assert len(list((tmp_path / "x" / "dead" / "batch=0").glob("part-*"))) > 1
