@@ -8,14 +8,14 @@ of one thing at one time the one with the least place counts. An empty table giv
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import EARTH_M, KNOT_MS, dead_reckon, haversine_m, libm_asin
+from ..functions.scalars import KNOT_MS, dead_reckon, haversine_m, libm_asin
 from ..sources.workers import reachable
+from .circles import others_near
 
 c = F.col
 
@@ -107,20 +107,12 @@ def open_silences(at: DataFrame, now: Column, rules: Rules) -> DataFrame:
 
 def neighbours(gaps: DataFrame, at: DataFrame, rules: Rules) -> DataFrame:
     """(thing, silent_from, n_near): how many others reported, in the first window_s of each silence, within the radius
-    of where the thing should have been; zero is kept. Both meet in cells of place and time: a spot goes to the cells
-    that its circle touches, more of them in the far north, around the date line too; distances are then exact."""
-    across = math.floor(360 / math.degrees(rules.radius_m / EARTH_M))
-    step = 360 / across
+    of where the thing should have been; zero is kept. Both meet in blocks of place and time, around the date line and in
+    the far north too; distances are then exact."""
     where = dead_reckon(c("lat0"), c("lon0"), c("knots0"), c("course0"), F.least(F.lit(rules.spot_s), c("seconds") / 2))
     spots = gaps.select(*KEYS, where[0].alias("lat"), where[1].alias("lon"), seconds(c("silent_from")).alias("t0"), (seconds(c("silent_from")) + F.least(F.lit(rules.window_s), c("seconds"))).alias("t1"))
-    half = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(rules.radius_m / EARTH_M)) / F.greatest(F.cos(F.radians("lat")), F.lit(1e-9)))))
-    cells = lambda lo, hi, size: F.sequence(F.floor(lo / size), F.floor(hi / size))
-    xs = F.when(half >= 90 - step, F.sequence(F.lit(0), F.lit(across - 1)).cast("array<bigint>")).otherwise(F.array_distinct(F.transform(cells(c("lon") - half - 1e-6, c("lon") + half + 1e-6, step), lambda x: F.pmod(x, F.lit(across)))))
-    spread = spots.withColumn("x", F.explode(xs)).withColumn("y", F.explode(cells(c("lat") - step - 1e-6, c("lat") + step + 1e-6, step))).withColumn("z", F.explode(cells(c("t0"), c("t1"), rules.window_s)))
-    other = at.select(c("thing").alias("other"), c("lat").alias("lat2"), c("lon").alias("lon2"), seconds(c("ts")).alias("t2"))
-    other = other.withColumns({"x": F.pmod(F.floor(c("lon2") / step), F.lit(across)), "y": F.floor(c("lat2") / step), "z": F.floor(c("t2") / rules.window_s)})
-    close = (c("t2") > c("t0")) & (c("t2") <= c("t1")) & (c("other") != c("thing")) & (haversine_m(c("lat"), c("lon"), c("lat2"), c("lon2")) <= rules.radius_m)
-    met = spread.join(other, ["x", "y", "z"]).filter(close).groupBy(*KEYS).agg(F.count_distinct("other").alias("n_near"))
+    reports = at.select(c("thing").alias("other"), "lat", "lon", seconds(c("ts")).alias("t"))
+    met = others_near(spots, reports, KEYS, rules.radius_m, rules.window_s)
     return gaps.select(*KEYS).join(met, KEYS, "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
 
 
