@@ -83,3 +83,16 @@ def test_properties_find_a_pipeline_that_drops_doubles_and_depends_on_order(spar
     assert told(lambda t: {"t": t["t"].unionByName(t["t"].filter("k = 3"))})["keys"] == "violated"
     assert told(lambda t: {"t": t["t"].withColumn("v", F.monotonically_increasing_id().cast("double"))})["order"] == "violated"
     assert told(lambda t: dict(t), {"t": raw["t"].filter("false")}) == {"keys": "vacuous", "total": "vacuous", "order": "held"}
+
+
+def test_parts_of_bundles_are_written_without_the_texts_they_were_read_from(spark):
+    """A part is written as typed fields with a text where it is refused only, that of a page not beside each order."""
+    page = [order(order_id=k, price=5.5 if k % 10 else 0) for k in range(1, 101)] + [order(order_id=1)]
+    table = spark.createDataFrame([("a", SNAP, "h1", json.dumps([{"type_id": 34, "status": 200, "body": json.dumps(page)}, {"type_id": 35, "status": 200, "body": "{"}]))], "server_id string, snapshot_ts timestamp, raw_sha string, body string")
+    got = payloads.order_bundles(table, spark.createDataFrame([(34,), (35,)], "item_id long"), spark.createDataFrame([("a",)], "server_id string"))
+    refused = {(x.reason, x.raw_row) for x in got.quarantine.collect()}
+    assert refused == {("non_positive_price", json.dumps(page[k]).replace(" ", "")) for k in range(9, 100, 10)} | {("duplicate", json.dumps(page[100]).replace(" ", "")), ("unparseable_body", "{")}
+    written = spark.read.parquet(*got.listings.inputFiles())
+    texts_held = [x for r in written.filter("place is not null and reason is null").collect() for x in r if isinstance(x, str)]
+    assert written.count() == 102 and not [n for n in written.columns if n.startswith("raw_") and n != "raw_sha"]
+    assert set(texts_held) <= {"a", "h1", "2024-04-30T10:00:00Z"}
