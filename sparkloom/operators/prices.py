@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ..sources.scratch import scratch
+
 c = F.col
 #: Scale from a median distance to a standard deviation, and its floor in log units.
 NORMAL, FLOOR = 1.4826, 0.02
@@ -58,21 +60,38 @@ def snapshot_pairs(listings: DataFrame, cell: Sequence[str], snapshot: str) -> D
     return taken.filter("previous is not null")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def infer_fills(listings: DataFrame, cell: Sequence[str], snapshot: str, order: str, price: str, left: str, total: str, expires: str) -> DataFrame:
     """(cell, snapshot, fill_qty, fill_value, new_value) between a cell's neighbouring snapshots. An order that shrank was
     filled in part. One that vanished before it expired was filled if no dearer than the dearest partial fill, or the
     cheapest listing left where there is none, or any price where nothing is left; else it was withdrawn."""
     key = [*cell, snapshot]
-    pairs = snapshot_pairs(listings, cell, snapshot)
-    old = pairs.join(listings.withColumnRenamed(snapshot, "previous"), [*cell, "previous"]).select(*key, order, c(price).alias("_p"), c(left).alias("_had"), c(expires).alias("_ends"))
-    new = pairs.drop("previous").join(listings, key).select(*key, order, c(price).alias("_q"), c(left).alias("_has"), c(total).alias("_total"))
-    met = old.join(new, [*key, order], "full")
+    # what is joined is written, so that a table of cells and snapshots goes to the listings if it is small
+    kept = _stored(listings.select(*key, c(order).alias("_order"), c(price).alias("_price"), c(left).alias("_left"), c(total).alias("_total"), c(expires).alias("_ends")))
+    pairs = _stored(snapshot_pairs(kept, cell, snapshot))
+    old = kept.withColumnRenamed(snapshot, "previous").join(pairs, [*cell, "previous"]).select(*key, "_order", c("_price").alias("_p"), c("_left").alias("_had"), "_ends")
+    new = kept.join(pairs.drop("previous"), key).select(*key, "_order", c("_price").alias("_q"), c("_left").alias("_has"), "_total")
+    met = old.join(new, [*key, "_order"], "full")
     partial, gone = c("_has") < c("_had"), c("_has").isNull() & (c("_ends") > c(snapshot))
-    edges = met.groupBy(*key).agg(F.coalesce(F.max(F.when(partial, c("_p"))), F.min("_q"), F.lit(float("inf"))).alias("_edge"))
-    quantity = F.when(partial, c("_had") - c("_has")).when(gone & (c("_p") <= c("_edge")), c("_had")).otherwise(0)
-    dealt = met.join(edges, key).withColumn("_filled", quantity)
+    money = lambda quantity, at: F.sum(F.coalesce(quantity * c(at), F.lit(0)))
+    sold = F.when(partial, c("_had") - c("_has")).otherwise(0)
     fresh = F.when(c("_had").isNull(), c("_q") * c("_total")).otherwise(0)
-    return dealt.groupBy(*key).agg(F.sum("_filled").cast("long").alias("fill_qty"), F.sum(F.coalesce(c("_filled") * c("_p"), F.lit(0))).alias("fill_value"), F.sum(fresh).alias("new_value"))
+    # only what vanished has to wait for its cell's edge, by its price: the rest is summed up at once
+    lost = F.coalesce(gone, F.lit(False))
+    sums = met.groupBy(*key, lost.alias("_lost"), F.when(lost, c("_p")).alias("_at")).agg(
+        F.max(F.when(partial, c("_p"))).alias("_dearest"), F.min("_q").alias("_cheapest"), F.sum(sold).alias("_sold"), money(sold, "_p").alias("_value"),
+        F.sum(F.when(lost, c("_had"))).alias("_had"), F.sum(fresh).alias("_fresh"),
+    )
+    sums = _stored(sums)
+    edges = sums.groupBy(*key).agg(F.coalesce(F.max("_dearest"), F.min("_cheapest"), F.lit(float("inf"))).alias("_edge"))
+    filled = F.coalesce(F.when(c("_lost") & (c("_at") <= c("_edge")), c("_had")), F.lit(0))
+    dealt = sums.join(edges, key).withColumn("_filled", filled)
+    return dealt.groupBy(*key).agg(F.sum(c("_sold") + c("_filled")).cast("long").alias("fill_qty"), F.sum(c("_value") + F.coalesce(c("_filled") * c("_at"), F.lit(0))).alias("fill_value"), F.sum("_fresh").alias("new_value"))
 
 
 def cap_weights(cells: DataFrame, group: str, size: str, cap: float, tie: Sequence[str], out: str = "share") -> DataFrame:

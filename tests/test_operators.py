@@ -123,3 +123,21 @@ def test_total_order_holds_across_files(spark, tmp_path):
     files = sorted((tmp_path / "t").glob("part-*"))
     told = [(r.k, r.id) for f in files for r in spark.read.parquet(str(f)).collect()]
     assert told == sorted(told) and len(told) == 5000
+
+
+def test_fills_wait_for_the_edge_by_price_only(spark):
+    """Fills of a plain version; the result is read from sums by cell, snapshot and vanished price, not from orders."""
+    rows = [(k % 2, s, k, float(k % 5 + 1), 9 if s == 1 else 9 - k % 3, 9, 1 + k % 4) for k in range(400) for s in (1, 2, 3) if (k + s) % 4 or s == 1] + [(0, 2, None, 1.0, 3, 3, 9)]
+    book = spark.createDataFrame(rows, "cell int, snap int, id int, price double, had int, total int, ends int")
+    got = prices.infer_fills(book, ["cell"], "snap", "id", "price", "had", "total", "ends")
+    wanted = {}
+    for cell in (0, 1):
+        for s in (2, 3):
+            old, new = ([r for r in rows if r[:2] == (cell, t)] for t in (s - 1, s))
+            now, was = {r[2]: r for r in new if r[2] is not None}, {r[2] for r in old if r[2] is not None}
+            shrunk = [r for r in old if r[2] in now and now[r[2]][4] < r[4]]
+            edge = max((r[3] for r in shrunk), default=min((r[3] for r in new), default=float("inf")))
+            sold = [(r[4] - now[r[2]][4], r[3]) for r in shrunk] + [(r[4], r[3]) for r in old if r[2] not in now and r[6] > s and r[3] <= edge]
+            wanted[cell, s] = (sum(n for n, _ in sold), sum(n * p for n, p in sold), sum(r[3] * r[5] for r in new if r[2] not in was))
+    assert {(r.cell, r.snap): (r.fill_qty, r.fill_value, r.new_value) for r in got.collect()} == wanted
+    assert spark.read.parquet(*got.inputFiles()).count() <= 4 * (5 + 1)
