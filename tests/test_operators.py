@@ -141,3 +141,24 @@ def test_fills_wait_for_the_edge_by_price_only(spark):
             wanted[cell, s] = (sum(n for n, _ in sold), sum(n * p for n, p in sold), sum(r[3] * r[5] for r in new if r[2] not in was))
     assert {(r.cell, r.snap): (r.fill_qty, r.fill_value, r.new_value) for r in got.collect()} == wanted
     assert spark.read.parquet(*got.inputFiles()).count() <= 4 * (5 + 1)
+
+
+def test_listings_are_sorted_once_for_join_and_places(spark):
+    """With items too many to send to all tasks: one sort of the rows and one of the items; reasons as they were."""
+    rows = spark.createDataFrame([(k % 7 if k % 11 else None, k % 3, k, float(k % 5), 1.0, 2.0) for k in range(60)], "i int, d int, o int, p double, v double, t double")
+    items = spark.createDataFrame([(k,) for k in range(5)], "i int")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = rulesets.listings(rows, items, "i", "p", "v", "t", ["d", "i"], ["o"])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        reasons = {r.o: r.reason for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert plan.count("Sort [") == 2
+    seen, wanted = set(), {}
+    for k in range(60):
+        i, key = (k % 7 if k % 11 else None), (k % 3, k % 7 if k % 11 else None)
+        wanted[k] = "missing_i" if i is None else "unknown_item" if i > 4 else "bad_price" if k % 5 == 0 else "duplicate_in_snapshot" if key in seen else None
+        seen.add(key)
+    assert {k for k in reasons if (reasons[k] or "").replace("missing_fields", "missing_i") != (wanted[k] or "")} == set()
