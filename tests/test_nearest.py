@@ -1,11 +1,15 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import measures, nearest, reports
+from sparkloom.operators import learners, measures, nearest, reports
+from sparkloom.plans import QUERIES
+
+DATA = "/root/testdata/sf0.001"
 
 
 def _plain(vectors, queries, k, score, *order):
@@ -51,3 +55,23 @@ def test_nearest_in_the_plane_in_blocks_are_those_of_all_pairs(spark, small):
     found = reports.knn_2d(points, queries, "id", "x", "y", 5)
     _same(found, _plain(points, queries, 5, score, "score"), "squared")
     assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+
+
+def test_quality_of_a_projection_is_told_for_every_vector(spark):
+    table = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    flat = {r.vec_id: (r.x, r.y) for r in learners.pca2(table, "vec_id", "embedding")[0].collect()}
+    rows = sorted((r.vec_id, r.embedding, r.label) for r in table.collect())
+    ids, labels = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    vectors, places = np.array([r[1] for r in rows], dtype=float), np.array([flat[i] for i in ids])
+
+    def ten(score, i):
+        score[i] = math.inf
+        return np.lexsort((ids, score))[:10]
+
+    squares, wanted = (vectors**2).sum(axis=1), []
+    for i, key in enumerate(ids):
+        high = ten(-np.round(vectors @ vectors[i] / np.sqrt(squares * squares[i]), 6), i)
+        low = ten(((places - places[i]) ** 2).sum(axis=1), i)
+        wanted.append((int(key), round(len(set(high) & set(low)) / 10, 6), round(float((labels[low] == labels[i]).mean()), 6)))
+    found = QUERIES["M24_projection_quality"](spark, DATA)
+    assert sorted((r.query_id, round(r.recall, 6), round(r.purity, 6)) for r in found.collect()) == wanted
