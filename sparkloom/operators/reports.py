@@ -85,8 +85,8 @@ def entity_card(things: DataFrame, facts: DataFrame, key: str, ts: str, tie: str
 
 
 def knn_2d(points: DataFrame, queries: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
-    """Exact nearest neighbours in the plane, self excluded, ties by key. queries is a stated set; points meet it in blocks
-    and each block keeps its best k before anything is shuffled."""
+    """Exact nearest neighbours in the plane, self excluded, ties by key. queries may be all points; they meet in blocks and
+    each pair of blocks keeps its best k before anything is shuffled."""
     place = F.array(c(x).cast("double"), c(y).cast("double"))
     near = candidates(points, queries, key, place, k, cosine=False).select("query_id", "neighbour_id", c("a").alias("squared"))
     w = Window.partitionBy("query_id").orderBy("squared", "neighbour_id")
